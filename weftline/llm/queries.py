@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import decode_bpe, encode_bpe
+from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
 from .mixing import MIX_SQL, mix_sources, word_count
 from .secrets import BASE_KINDS, find_secrets, listed
@@ -40,6 +41,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(cut(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(expand_replies(stored.union(added)))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.environ.get("WEFTLINE_BPE_VOCAB") or public_tokenizers.path(BPE_VOCAB)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,9 +65,11 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
+    "op5_chat": op5_chat,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": MIX_SQL,
+    "op5_chat": DIGEST_SQL,
 }
