@@ -12,6 +12,7 @@ from .byte_bpe import decode_bpe, encode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
 from .mixing import MIX_SQL, mix_sources, word_count
+from .quality import quality_rules
 from .secrets import BASE_KINDS, find_secrets, listed
 from .simhash import near_duplicate_groups
 
@@ -61,12 +62,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
