@@ -62,7 +62,8 @@ def test_score_equals_brute_force(spark):
             c[0] += i < 20
             c[1] += 1
     sums = [[sum(c[k] for g, c in counts.items() if (g >= Q.BUCKETS) == half) for k in (0, 1)] for half in (0, 1)]
-    ratio = {g: round((math.log((c[0] + 1) / (sums[g >= Q.BUCKETS][0] + Q.BUCKETS)) - math.log((c[1] + 1) / (sums[g >= Q.BUCKETS][1] + Q.BUCKETS))) * Q.UNIT) for g, c in counts.items()}
+    scale = [s[1] / s[0] for s in sums]
+    ratio = {g: round(math.log((c[0] * scale[g >= Q.BUCKETS] + 1) / (c[1] + 1)) * Q.UNIT) for g, c in counts.items()}
     for r in Q.quality_rules(df, labels, threshold=-1000).collect():
         g = grams(r.text)
         if not g:

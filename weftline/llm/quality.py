@@ -9,8 +9,8 @@ Every document is read by itself: its words, repeated windows and lines are foun
 shuffled but bucket counts that each task has summed. Repeated windows are told by 64-bit hashes of their words.
 
 Edge cases: a null text has no words; a text with fewer than MIN_WORDS words fails the rules; rows are judged one
-by one, so null keys and repeated rows are judged alike; without trusted documents both multinomials are flat over
-unseen buckets and the smoothing keeps every ratio finite; an empty table gives an empty result; input columns named
+by one, so null keys and repeated rows are judged alike; without trusted documents every score is 0, so only the
+rules reject; an empty table gives an empty result; input columns named
 like an output column are replaced.
 """
 
@@ -100,7 +100,7 @@ def bucket_counts(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
 
 
 def log_ratios(counts: DataFrame, buckets: int = 2 * BUCKETS) -> list[int]:
-    """The ratio of each bucket, with one count added to each bucket of either multinomial.
+    """The ratio of each bucket, with one count added to each bucket of either multinomial; 0 without trusted ones.
 
     Words and pairs are one multinomial each. The counts are at most ``buckets`` rows, whatever the corpus holds.
     """
@@ -108,8 +108,10 @@ def log_ratios(counts: DataFrame, buckets: int = 2 * BUCKETS) -> list[int]:
     sums = counts.groupBy(half).agg(F.sum("target").alias("all_target"), F.sum("raw").alias("all_raw"))
     every = counts.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
     full = every.join(counts, "bucket", "left").withColumn("half", half).join(sums, "half", "left")
-    share = lambda name: F.log((F.coalesce(name, F.lit(0)) + 1.0) / (F.coalesce(f"all_{name}", F.lit(0)) + float(buckets // 2)))
-    ratio = F.round((share("target") - share("raw")) * UNIT).cast("long").alias("ratio")
+    # Target counts are scaled to the raw total first, so the added count weighs alike in both.
+    scaled = F.coalesce("target", F.lit(0)) * (F.col("all_raw") / F.col("all_target"))
+    ratio = F.when(F.col("all_target") > 0, F.log((scaled + 1) / (F.coalesce("raw", F.lit(0)) + 1))).otherwise(0.0)
+    ratio = F.round(ratio * UNIT).cast("long").alias("ratio")
     return [r.ratio for r in full.select("bucket", ratio).orderBy("bucket").collect()]
 
 
