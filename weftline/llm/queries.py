@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import decode_bpe, encode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
+from .language import fit_languages, held_out, predict_languages
 from .mixing import MIX_SQL, mix_sources, word_count
 from .quality import quality_rules
 from .secrets import BASE_KINDS, find_secrets, listed
@@ -62,6 +63,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out("doc_id", 5, 0)
+    model = fit_languages(docs.where(~held))
+    return predict_languages(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -73,6 +81,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language": op8_language,
     "op9_quality": op9_quality,
 }
 
