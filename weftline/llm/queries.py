@@ -16,7 +16,10 @@ from .mixing import MIX_SQL, mix_sources, word_count
 from .quality import quality_rules
 from .secrets import BASE_KINDS, find_secrets, listed
 from .simhash import near_duplicate_groups
+from .toxicity import fit_toxicity, score_toxicity
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
 BPE_VOCAB = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -75,6 +78,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out("doc_id", 4, 2)
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(~held))
+    scored = score_toxicity(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -83,6 +94,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
