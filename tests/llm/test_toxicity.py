@@ -8,7 +8,7 @@ from weftline.llm import toxicity as T
 from weftline.llm.language import held_out
 
 
-def documents(n=600, seed=10):
+def documents(n=1500, seed=10):
     """Toxic: an insult where a group is named; either alone is not."""
     rnd = random.Random(seed)
     rows, labels = [], []
@@ -24,8 +24,8 @@ def documents(n=600, seed=10):
 
 def test_pairs_are_learned_and_held_out(spark):
     rows, labels = documents()
-    rows += [(1000, None), (1001, ""), (1002, "x " * 30_000), (None, "moron martians"), (3, rows[3][1]), (3, rows[3][1])]
-    labels += [(1000, None), (None, 1), (5000, 1)]
+    rows += [(10_000, None), (10_001, ""), (10_002, "x " * 30_000), (None, "moron martians"), (3, rows[3][1]), (3, rows[3][1])]
+    labels += [(10_000, None), (None, 1), (50_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("SCORE", F.lit("clash")).withColumn("held", held_out("doc_id", 4, 2))
     marked = spark.createDataFrame(labels, "doc_id long, toxic int").where(~held_out("doc_id", 4, 2))
     model = T.fit_toxicity(df, marked)
@@ -34,7 +34,7 @@ def test_pairs_are_learned_and_held_out(spark):
     got = out.collect()
     want = dict(labels)
     right = [(r.score >= 0.3) == bool(want[r.doc_id]) for r in got if r.held and r.doc_id in want and want[r.doc_id] is not None]
-    assert len(right) > 100 and np.mean(right) > 0.97
+    assert len(right) > 300 and np.mean(right) > 0.97
     assert all(0 <= r.score <= 1 for r in got) and all(r.held == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     empty = {r.score for r in got if not r.text}
     assert len(empty) == 1 and empty.pop() < 0.3
