@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import decode_bpe, encode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
+from .embeddings import near_duplicate_vectors
 from .language import fit_languages, held_out, predict_languages
 from .mixing import MIX_SQL, mix_sources, word_count
 from .quality import quality_rules
@@ -53,6 +54,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(expand_replies(stored.union(added)))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.environ.get("WEFTLINE_BPE_VOCAB") or public_tokenizers.path(BPE_VOCAB)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +96,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
+    "op6_embeddings": op6_embeddings,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
