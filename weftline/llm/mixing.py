@@ -182,7 +182,7 @@ def mix_sources(
     return docs.select(*df.columns, "source_size", "target", "copies", "taken")
 
 
-def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_copies(mixed: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """One row for each copy that the mix takes."""
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
 
