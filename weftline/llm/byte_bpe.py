@@ -29,6 +29,8 @@ from .common import append, small_slices, texts_of, with_fields, without
 
 #: Characters of text, and bytes within one match of the pattern, that are encoded as one leaf.
 LEAF_CHARS, LEAF_BYTES = 2048, 1024
+#: Bytes of text that a worker encodes at a time (one text at least).
+SLICE = 1 << 20
 #: A vocabulary file larger than this is not sent to executors.
 VOCAB_LIMIT = 64 << 20
 #: Tokens on either side of a seam that are encoded anew at first.
@@ -122,6 +124,11 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(vocab)
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+
+
 def encode_bpe(
     df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids: str = "ids",
     leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES,
@@ -132,15 +139,30 @@ def encode_bpe(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab.value, pattern, leaf_chars, leaf_bytes)
-        for batch in small_slices(batches, text):
-            found = [np.array(codec.encode(t), np.int32) for t in texts_of(batch, text)]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield append(batch, [ids], [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))])
+        for batch in small_slices(batches, text, SLICE):
+            yield append(batch, [ids], [_lists([np.array(codec.encode(t), np.int32) for t in texts_of(batch, text)])])
 
     return df.mapInArrow(run, with_fields(df, f"`{ids}` array<int>"))
 
 
+def recode_bpe(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the token ids of ``text``, and the bytes that they decode to, by one worker that holds one codec."""
+    df = without(df, *[c for c in (ids, decoded) if c.lower() != text.lower()])
+    vocab = _vocabulary(df, vocab_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocab.value, pattern, LEAF_CHARS, LEAF_BYTES)
+        for batch in small_slices(batches, text, SLICE):
+            found, back = [], []
+            for t in texts_of(batch, text):
+                tokens = codec.encode(t)
+                back.append(codec.decode(tokens))
+                found.append(np.array(tokens, np.int32))
+            yield append(batch, [ids, decoded], [_lists(found), pa.array(back, pa.binary())])
+
+    return df.mapInArrow(run, with_fields(df, f"`{ids}` array<int>, `{decoded}` binary"))
+
+
 def decode_bpe(df: DataFrame, vocab_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes of the ``ids`` column as ``decoded`` binary."""
     df = without(df, decoded)

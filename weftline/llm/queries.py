@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import decode_bpe, encode_bpe
+from .byte_bpe import recode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
 from .embeddings import near_duplicate_vectors
@@ -61,9 +61,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.environ.get("WEFTLINE_BPE_VOCAB") or public_tokenizers.path(BPE_VOCAB)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode_bpe(docs, path, public_tokenizers.PATTERN).drop("text")
-    both = decode_bpe(ids, path, public_tokenizers.PATTERN)
-    return both.select(
+    return recode_bpe(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
