@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.byte_bpe import decode_bpe, encode_bpe
+from weftline.llm.byte_bpe import recode_bpe
 from weftline.llm.common import ensure_checkpoint_dir
 from weftline.llm.language import fit_languages, held_out, predict_languages
 from weftline.llm.mixing import mix_sources, repeat_copies, word_count
@@ -58,7 +58,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and whether they decode to the text's bytes."""
     path = os.environ.get("WEFTLINE_BPE_VOCAB") or public_tokenizers.path(BPE_VOCAB)
     slim = docs.select("doc_id", "lang", "source", "text")
-    both = decode_bpe(encode_bpe(slim, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    both = recode_bpe(slim, path, public_tokenizers.PATTERN)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 
