@@ -1,4 +1,15 @@
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    )
