@@ -1,0 +1,229 @@
+"""Literal cases of the single operators."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from weftline.functions import text as X
+from weftline.operators.ranges import CommitRange, adjust_positions, context_commits, overlapping_hunks
+from weftline.plans import assessment, hierarchical, loop, repair, responses, strategies, validation
+from weftline.schemas import ANALYSIS, PLAN_CHANGE, PLAN_COMMIT, PLAN_DEP
+from weftline.sinks import plan_files, reports
+from weftline.sinks.patches import write_patches
+from weftline.sources.diff import parse_diff
+from weftline.sources.logs import read_log, split_log
+from weftline.streaming.arrivals import diff_stream, plan_arrivals
+
+DIFF = """diff --git a/a.rs b/a.rs
+index 1..2 100644
+--- a/a.rs
++++ b/a.rs
+@@ -1 +1,2 @@ fn x()
+ one
++two
+\\ No newline at end of file
+@@ -10,2 +11,1 @@
+-ten
+ eleven
+diff --git a/new.rs b/new.rs
+new file mode 100644
+--- /dev/null
++++ b/new.rs
+@@ -0,0 +1,2 @@
++a
++b
+diff --git a/x.bin b/x.bin
+Binary files a/x.bin and b/x.bin differ
+diff --git a/run.sh b/run.sh
+old mode 100644
+new mode 100755
+diff --git a/bad b/bad
+--- a/bad
++++ b/bad
+@@ nonsense @@
++x
+"""
+
+
+def test_parse(spark):
+    found = parse_diff(spark.createDataFrame([(1, DIFF)], "changeset_id long, diff_text string"), 100)
+    hunks = sorted(found.hunks.collect(), key=lambda r: r.hunk_id)
+    assert [(r.hunk_id, r.file_path, r.old_start, r.old_count, r.new_start, r.new_count) for r in hunks] == [
+        (100, "a.rs", 1, 1, 1, 2), (101, "a.rs", 10, 2, 11, 1), (102, "new.rs", 0, 0, 1, 2)]
+    assert [tuple(x) for x in hunks[0].lines] == [("context", "one"), ("added", "two")]
+    assert hunks[0].new_missing_newline_at_eof and not hunks[0].old_missing_newline_at_eof
+    changes = {r.file_path: r for r in found.file_changes.collect()}
+    assert set(changes) == {"new.rs", "x.bin", "run.sh"}
+    assert (changes["run.sh"].old_mode, changes["run.sh"].new_mode) == ("100644", "100755")
+    assert changes["new.rs"].change_type == "added" and changes["x.bin"].is_binary
+    assert [r.header for r in found.errors.collect()] == ["@@ nonsense @@"]
+    empty = parse_diff(spark.createDataFrame([(1, ""), (2, None)], "changeset_id long, diff_text string"))
+    assert empty.hunks.count() == empty.file_changes.count() == 0
+
+
+def test_round_trip(spark):
+    first = parse_diff(spark.createDataFrame([(1, DIFF.split("diff --git a/x.bin")[0])], "changeset_id long, diff_text string"))
+    patches = write_patches(first.hunks, ["changeset_id"], first.file_changes)
+    head = F.when(F.startswith("patch", F.lit("diff")), "").otherwise(F.format_string("diff --git a/%s b/%s\n", "file_path", "file_path"))
+    again = patches.select("changeset_id", F.concat(head, "patch").alias("p")).groupBy("changeset_id").agg(F.array_join(F.array_sort(F.collect_list("p")), "").alias("diff_text"))
+    pick = ["file_path", "old_start", "old_count", "new_start", "new_count", "lines", "new_missing_newline_at_eof"]
+    assert sorted(parse_diff(again).hunks.select(*pick).collect()) == sorted(first.hunks.select(*pick).collect())
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ('```json\n{"a": 1}\n```', '{"a": 1}'), ('```\n{"a": 1}\n```', '{"a": 1}'), ('x {"a": {}} y', '{"a": {}}'), ("none", None), ('```json\n{"a": 1}', None), ("} {", None),
+])
+def test_extract_json(spark, text, wanted):
+    assert spark.createDataFrame([(text,)], "t string").select(X.extract_json("t")).first()[0] == wanted
+
+
+def test_messages(spark):
+    rows = [("s", ""), ("s", "s"), ("s", "s\n\nb"), ("s", "b")]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string, l string").select(X.render_message("s", "l")).collect()]
+    assert got == ["s", "s", "s\n\nb", "s\n\nb"]
+    units = spark.createDataFrame([([],), (["one"],), (["one", "two", "three", "four"],)], "u array<string>")
+    assert [r[0] for r in units.select(X.fallback_subject("u")).collect()] == ["Update code", "One", "One and two, three"]
+
+
+def test_ranges(spark):
+    assert CommitRange.parse("a..b") == CommitRange("a", "b") and CommitRange.parse("a") == CommitRange("a")
+    with pytest.raises(ValueError):
+        CommitRange.parse("a...b")
+    commits = spark.createDataFrame([(1, i) for i in range(20)], "changeset_id long, position int")
+    near = {}
+    for r in context_commits(commits, 4).collect():
+        near.setdefault(r.position, set()).add(r.context_position)
+    assert near[10] == {8, 9, 11, 12} and near[0] == {1, 2, 3, 4} and near[19] == {15, 16, 17, 18}
+
+
+def _plan(spark, commits, deps=()):
+    rows = [(1, i, n, s, "") for n, (i, s, _) in enumerate(commits)]
+    changes = [(1, i, n, k, "existing", h) for n, (i, _, hs) in enumerate(commits) for k, h in enumerate(hs)]
+    return strategies.Plan(spark.createDataFrame(rows, PLAN_COMMIT), spark.createDataFrame(changes, PLAN_CHANGE), spark.createDataFrame([(1, *d) for d in deps], PLAN_DEP))
+
+
+def _hunks(spark, n, start=lambda i: 10 * i + 1, count=1):
+    rows = [(1, i, "test.rs", start(i), count, 2) for i in range(n)]
+    return spark.createDataFrame(rows, "changeset_id long, hunk_id long, file_path string, old_start long, old_count long, new_count long")
+
+
+def test_validation(spark):
+    plan = _plan(spark, [(0, "First", [0, 1, 1]), (1, " ", [1, 999]), (2, "Empty one", [])], [(0, 1), (1, 0), (2, 7)])
+    texts = {r[0] for r in validation.validate_plan(plan, _hunks(spark, 4)).select(validation.describe()).collect()}
+    assert texts == {
+        "commit#1: empty commit message", "commit#2: no changes in commit", "commit#1: invalid hunk reference hunk#999", "commit#0: duplicate hunk hunk#1 within commit",
+        "hunk#1 assigned to multiple commits: commit#0, commit#0, commit#1", "unassigned hunks: hunk#2, hunk#3", "commit#2: depends on non-existent commit#7",
+        "cyclic dependency: commit#0 -> commit#1 -> commit#0", "overlapping hunks in test.rs: hunk#1 (commit commit#0) and hunk#1 (commit commit#1)",
+    }
+
+
+def test_fixes_leave_nothing_to_fix(spark):
+    hunks = _hunks(spark, 6)
+    plan = _plan(spark, [(0, "First", [0, 1]), (1, "Second", [1]), (5, "Third", [2, 2])])
+    fixed, issues = loop.settle(plan, hunks)
+    assert sorted((r.commit_id, r.hunk_id) for r in fixed.changes.collect()) == [(0, 0), (0, 1), (5, 2), (6, 3), (6, 4), (6, 5)]
+    assert issues.count() == 0
+    nothing = repair.fix_unassigned(_plan(spark, []), hunks)
+    assert {r.commit_id for r in nothing.commits.collect()} == {1}
+
+
+def test_overlaps_and_shifts_equal_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(1, rnd.choice("ab"), i, rnd.randrange(5), rnd.randrange(5), rnd.randrange(3000), rnd.choice([0, 1, 30, 900, 40_000]), rnd.randrange(40)) for i in range(150)]
+    rows = [(*r[:3], r[3], r[3], r[2], *r[5:]) for r in rows]
+    df = spark.createDataFrame(rows, "changeset_id long, file_path string, hunk_id long, commit_id long, commit_pos int, change_pos int, old_start long, old_count long, new_count long")
+    want = {(a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[3] != b[3] and (a[4], a[5]) < (b[4], b[5]) and a[6] < b[6] + b[7] and b[6] < a[6] + a[7]}
+    got = [(r.hunk_a, r.hunk_b) for r in overlapping_hunks(df, 16, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    shift = {a[2]: a[6] + sum(b[8] - b[7] for b in rows if a[1] == b[1] and b[4] < a[4] and b[6] < a[6]) for a in rows}
+    for crowded in (0, 10**6):
+        assert {r.hunk_id: r.adjusted_start for r in adjust_positions(df, crowded).collect()} == shift
+
+
+def test_cycles_and_order():
+    assert validation.first_cycle([0, 1, 2], {0: [1], 1: [2], 2: [1]}) == [1, 2, 1]
+    assert validation.first_cycle([0, 1, 2], {0: [1], 1: [2]}) is None
+    assert hierarchical.sorted_nodes([0, 1, 2], {2: {1}, 1: {0}}, {}) == [2, 1, 0]
+    assert hierarchical.sorted_nodes([0, 1], {0: {1}, 1: {0}}, {}) == [0, 1]
+    assert hierarchical.sorted_nodes([], {}, {}) == []
+
+
+def test_clusters(spark):
+    c = lambda t, cats, hs: {"topic": t, "categories": cats, "hunk_ids": hs, "reason": ""}
+    merged = hierarchical.merge_small([c("a", ["test"], [1]), c("b", ["bugfix", "test"], [2, 3, 4]), c("z", ["other"], [5])])
+    assert [(x["topic"], x["hunk_ids"], x["categories"]) for x in merged] == [("b", [2, 3, 4, 1], ["bugfix", "test"]), ("z", [5], ["other"])]
+    moved = hierarchical.relate([c("a", ["test"], [1, 2]), c("b", ["bugfix"], [3, 4])], [([2, 3], "why")], {2: "test", 3: "bugfix"})
+    assert [x["hunk_ids"] for x in moved] == [[1, 2, 3], [4]] and moved[0]["categories"] == ["bugfix", "test"]
+    joined = hierarchical.merge_tests([c("a", ["bugfix"], [1]), c("a", ["test"], [2])])
+    assert [x["hunk_ids"] for x in joined] == [[1, 2]]
+    rows = [(1, i, "test" if i % 2 else "feature", ["u"], f"t{i % 3}", None, f"f{i % 4}") for i in range(30)]
+    analyses = spark.createDataFrame(rows, ANALYSIS)
+    plan = hierarchical.plan_hierarchical(analyses)
+    assert sorted(r.hunk_id for r in plan.changes.collect()) == list(range(30))
+
+
+SCORED = '{"scores": [%s]}'
+ITEM = '{"criterion": "%s", "level": %s, "rationale": "r"}'
+
+
+@pytest.mark.parametrize("items, error", [
+    ([("atomicity", 5), ("message", 4)], None), ([("atomicity", 5)], "missing criteria: message_quality"), ([("nope", 9), ("atomicity", 7)], "unknown criterion: nope"),
+    ([("atomicity", 5), ("ATOMICITY", 7)], "duplicate criterion: ATOMICITY"), ([("atomicity", 7)], "level out of range: 7"), ([("scope", 2)], "unknown criterion: scope"), ([("atomicity", -1)], "invalid JSON"),
+])
+def test_score_responses(spark, items, error):
+    text = SCORED % ",".join(ITEM % x for x in items)
+    df = spark.createDataFrame([(1, "s", text)], "changeset_id long, sha string, response string")
+    scores, errors = assessment.parse_responses(df, ("atomicity", "message_quality"))
+    assert [r.error for r in errors.collect()] == ([error] if error else [])
+    assert sorted(r.weighted_score for r in scores.collect()) == ([] if error else [4.8, 5.0])
+
+
+def test_reports(spark):
+    scores = spark.createDataFrame([(1, "s1" * 8, c, 4) for c in reports.CRITERIA], "changeset_id long, sha string, criterion string, level int")
+    better = scores.withColumn("level", F.lit(5))
+    commits = spark.createDataFrame([(1, "s1" * 8, 0, "Do it")], "changeset_id long, sha string, position int, short string")
+    ends = spark.createDataFrame([(1, "b" * 12, "h" * 12)], "changeset_id long, base_sha string, head_sha string")
+    for fmt in reports.FORMATS:
+        assert reports.range_report(scores, commits, ends, fmt).count() == 1
+    text = reports.range_report(scores, commits, ends, "markdown").first().report
+    assert text.startswith("# Commit Assessment Report\n\n**Range**: `bbbbbbbb..hhhhhhhh`\n**Overall Score**: 80.0%\n") and "| Atomicity | 4.0 | 4 | 4 | 0.00 |" in text
+    assert reports.range_report(scores, commits, ends, "compact").first().report.startswith("Overall: 80.0%\ns1s1s1s1 80% [ato:4 mes:4 log:4 sco:4 rev:4] Do it")
+    assert reports.comparison_report(scores, better, "compact").first().report == "80.0% -> 100.0% (+20.0%)"
+    assert "  + atomicity: +1.00\n" in reports.comparison_report(scores, better).first().report
+    assert reports.wrap_words("aa bb cc", 5) == ["aa bb", "cc"] and reports.wrap_words("", 5) == [""]
+
+
+def test_stored_plans(spark, tmp_path):
+    plan = _plan(spark, [(4, "First", [0, 1]), (9, "Second", [2])])
+    plan_files.save_plans(plan, "by-file", f"{tmp_path}/plans")
+    back, progress = plan_files.load_plans(spark, f"{tmp_path}/plans")
+    assert sorted((r.commit_id, r.change_pos, r.hunk_id) for r in back.changes.collect()) == [(0, 0, 0), (0, 1, 1), (1, 0, 2)]
+    assert [r.short for r in back.commits.orderBy("commit_pos").collect()] == ["First", "Second"] and progress.first().next_index == 0
+
+
+def test_logs_and_features(spark):
+    log = "aaa\nFix it\n\nBody\n\x00\nbbb\nNext\n\x00\n"
+    rows = read_log(split_log(spark.createDataFrame([(1, log)], "changeset_id long, log_text string"))).orderBy("position").collect()
+    assert [(r.sha, r.short, r.long) for r in rows] == [("aaa", "Fix it", "Fix it\n\nBody"), ("bbb", "Next", "Next")]
+    assert loop.Features.from_names("absorb, file-based-llm-io").absorb
+    with pytest.raises(ValueError):
+        loop.Features.from_names("nope")
+    with pytest.raises(ValueError):
+        strategies.strategy("nope")
+
+
+def test_plan_responses(spark):
+    hunks = parse_diff(spark.createDataFrame([(1, DIFF)], "changeset_id long, diff_text string")).hunks
+    text = """{"commits": [{"short_description": "A", "long_description": "B", "changes": [{"type": "hunk", "id": 0},
+      {"type": "partial", "hunk_id": 1, "lines": [2]}, {"type": "partial", "hunk_id": 1, "lines": [9]}, {"type": "raw", "file_path": "z", "diff": "+x\\ny\\n"}]}]}"""
+    commits, errors = responses.read_plans(spark.createDataFrame([(1, text), (2, "no")], "changeset_id long, response string"))
+    rows = responses.convert_changes(commits, hunks).orderBy("change_pos").collect()
+    assert [(r.kind, r.hunk_id, r.error) for r in rows] == [("existing", 0, None), ("new", 3, None), ("new", 4, "line out of range"), ("new", 5, None)]
+    assert (rows[1].new_hunk.old_count, rows[1].new_hunk.new_count, rows[3].new_hunk.new_count) == (1, 1, 2)
+    assert [(r.changeset_id, r.error) for r in errors.collect()] == [(2, "no JSON found")]
+
+
+def test_stream(spark, tmp_path):
+    spark.createDataFrame([(1, DIFF)], "changeset_id long, diff_text string").write.parquet(f"{tmp_path}/in")
+    plan_arrivals(diff_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
+    assert {r.short for r in spark.read.parquet(f"{tmp_path}/out/commits").collect()} == {"Update a.rs", "Update new.rs"}
