@@ -55,10 +55,21 @@ def _grams(h: Column) -> Column:
     return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(h) - 1, F.lit(0))))
 
 
+def _spans(h: Column, length: int) -> Column:
+    """Hash of the ``length`` (a power of two) elements from each place on, made of two hashes of half the length.
+
+    The last places lack elements. An array is sliced once a doubling, not once a place, so the work follows its size.
+    """
+    def pair(a: Column, step: int) -> Column:
+        return F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+
+    return pair(h, 1) if length == 2 else _let(_spans(h, length // 2), lambda half: pair(half, length // 2))
+
+
 def _repeated(h: Column) -> Column:
     """Number of words in windows that the text holds more than once."""
     n = F.size(h)
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    windows = F.slice(_spans(h, WINDOW), 1, n - (WINDOW - 1))
 
     def count(found: Column) -> Column:
         placed = F.array_sort(F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
