@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from weftline.functions import text as X
+from weftline.operators import assignment
 from weftline.operators.ranges import CommitRange, adjust_positions, context_commits, overlapping_hunks
 from weftline.plans import assessment, hierarchical, loop, repair, responses, strategies, validation
 from weftline.schemas import ANALYSIS, PLAN_CHANGE, PLAN_COMMIT, PLAN_DEP
@@ -140,6 +141,14 @@ def test_overlaps_and_shifts_equal_brute_force(spark):
         assert {r.hunk_id: r.adjusted_start for r in adjust_positions(df, crowded).collect()} == shift
 
 
+def test_same_rows_counts_repeats(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([("x", 1), (None, 3), (None, 3)], "v string, k int")
+    got = sorted(map(tuple, assignment.same_rows(a, b).collect()), key=str)
+    assert got == [(1, "x", "missing"), (2, "y", "missing"), (3, None, "unexpected"), (3, None, "unexpected")]
+    assert assignment.same_rows(a, a).count() == 0
+
+
 def test_cycles_and_order():
     assert validation.first_cycle([0, 1, 2], {0: [1], 1: [2], 2: [1]}) == [1, 2, 1]
     assert validation.first_cycle([0, 1, 2], {0: [1], 1: [2]}) is None

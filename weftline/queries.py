@@ -11,8 +11,10 @@ from .fixtures import view, with_lines, with_views
 from .functions import text as X
 from .operators import assignment, attribution, ranges
 from .plans import assessment, hierarchical, repair, responses, strategies, validation
+from .sinks import plan_files, reports
 from .sinks.patches import FLAGS, hunk_body, hunk_struct, mode_patches, whole_file_hunk, write_patches
-from .sources.diff import parse_diff
+from .sources.diff import parse_diff, raw_fragment
+from .sources.logs import read_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,3 +579,122 @@ def partial_changes(spark: SparkSession, sf: str) -> DataFrame:
     made = used.select("changeset_id", F.to_json(F.struct(commit.alias("commits"))).alias("response"))
     changes = responses.convert_changes(responses.read_plans(made)[0], hunks)
     return changes.select("changeset_id", "hunk_id", "file_path", "new_hunk.old_count")
+
+
+# --- Sources, stored plans and answers --------------------------------------------------------------------------
+
+
+@_query("""SELECT o_custkey AS changeset_id, o_orderkey AS position, md5(o_orderkey::VARCHAR) AS sha, o_orderpriority AS short,
+  o_orderpriority || chr(10) || chr(10) || 'Status ' || o_orderstatus AS long FROM orders""")
+def commit_log(spark: SparkSession, sf: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    message = F.concat(F.lit(" \n"), "o_orderpriority", F.lit("\n\nStatus "), "o_orderstatus", F.lit("\n\n"))
+    return read_log(orders.select(F.col("o_custkey").alias("changeset_id"), F.col("o_orderkey").alias("position"), F.md5(F.col("o_orderkey").cast("string")).alias("sha"), message.alias("message")))
+
+
+@_query(with_views("hunks") + " SELECT DISTINCT changeset_id, sha, file_path, old_count % 2 = 0 AS is_new FROM hunks")
+def changed_files(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.when(F.col("old_count") % 2 == 0, "A\t").otherwise("M\t"), "file_path")
+    texts = view(spark, sf, "hunks").groupBy("changeset_id", "sha").agg(F.array_join(F.collect_set(line), "\n").alias("status_text"))
+    return attribution.changed_files(texts)
+
+
+@_query("SELECT event_id, event_type || ' ' || user_id AS said FROM events")
+def event_texts(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    part = lambda c: F.to_json(F.struct(F.lit("text").alias("type"), F.struct(c.alias("text")).alias("part")))
+    stream = F.concat_ws("\n", F.lit('{"type":"start"}'), part(F.concat("event_type", F.lit(" "))), F.lit("not JSON"), part(F.col("user_id").cast("string")))
+    return e.select("event_id", X.event_text(stream).alias("said"))
+
+
+@_query(with_views("planned", "changes") + """ SELECT p.changeset_id, p.commit_pos::BIGINT AS commit_id, p.short, count(c.hunk_id) AS n_changes, sum(c.hunk_id)::BIGINT AS sum_ids FROM planned p
+LEFT JOIN changes c ON c.changeset_id = p.changeset_id AND c.commit_id = p.commit_id GROUP BY ALL""")
+def stored_plans(spark: SparkSession, sf: str) -> DataFrame:
+    plan, _ = _plan(spark, sf)
+    back, _ = plan_files.read_plans(plan_files.stored_plans(plan, "by-file"))
+    sums = back.changes.groupBy("changeset_id", "commit_id").agg(F.count("*").alias("n_changes"), F.sum("hunk_id").alias("sum_ids"))
+    return back.commits.select("changeset_id", "commit_id", "short").join(sums, ["changeset_id", "commit_id"], "left").withColumn("n_changes", F.coalesce("n_changes", F.lit(0)))
+
+
+@_query(with_views("analyses") + """ SELECT changeset_id, hunk_id, CASE WHEN hunk_id % 7 = 0 THEN 'invalid category' WHEN hunk_id % 7 = 1 THEN 'no JSON found' ELSE category END AS outcome,
+  CASE WHEN hunk_id % 7 > 1 THEN regexp_replace(replace(lower(topic), ' ', '_'), '[^a-z0-9_]', '', 'g') END AS topic FROM analyses""")
+def analysis_responses(spark: SparkSession, sf: str) -> DataFrame:
+    category = F.when(F.col("hunk_id") % 7 == 0, "guess").otherwise(F.col("category"))
+    body = F.to_json(F.struct(category.alias("category"), F.array("unit").alias("semantic_units"), "topic"))
+    rows = view(spark, sf, "analyses").select("changeset_id", "hunk_id", "file_path", F.when(F.col("hunk_id") % 7 == 1, "no").otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```"))).alias("response"))
+    good, errors = responses.read_analyses(rows)
+    return good.select("changeset_id", "hunk_id", F.col("category").alias("outcome"), "topic").unionByName(
+        errors.select("changeset_id", "hunk_id", F.col("error").alias("outcome"), F.lit(None).cast("string").alias("topic")))
+
+
+@_query(with_views("analyses") + """, c AS (SELECT changeset_id, topic, list(hunk_id ORDER BY hunk_id) AS ids FROM analyses GROUP BY ALL), parts AS (
+  SELECT changeset_id, topic, unnest(CASE WHEN len(ids) > 1 THEN [{'n': 0, 'ids': ids[1:1]}, {'n': 1, 'ids': ids[2:]}] ELSE [{'n': 0, 'ids': ids}] END) AS p FROM c)
+SELECT changeset_id, row_number() OVER (PARTITION BY changeset_id ORDER BY topic, p.n) - 1 AS commit_id, array_to_string(p.ids, ',') AS hunk_ids,
+  CASE WHEN p.n = 1 THEN row_number() OVER (PARTITION BY changeset_id ORDER BY topic, p.n) - 2 END AS depends_on FROM parts""")
+def split_commits(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = hierarchical.topic_clusters(_analyses(spark, sf))
+    part = lambda ids: F.struct(F.lit("Part").alias("short_description"), F.lit("").alias("long_description"), ids.alias("hunk_ids"))
+    split = F.array(part(F.slice("hunk_ids", 1, 1)), part(F.expr("slice(hunk_ids, 2, size(hunk_ids))")))
+    answers = clusters.where(F.size("hunk_ids") > 1).select("changeset_id", "cluster_id", F.concat(F.lit("So: "), F.to_json(F.struct(split.alias("split")))).alias("response"))
+    plan = hierarchical.split_commits(clusters, responses.read_splits(answers))
+    return _members(plan).join(plan.deps, ["changeset_id", "commit_id"], "left").select("changeset_id", "commit_id", "hunk_ids", "depends_on")
+
+
+@_query(with_views("hunks") + _TEXT + """ SELECT changeset_id, hunk_id, file_path,
+  array_to_string(['-old ' || x || ' of ' || hunk_id for x in range(1, oc + 1)] || ['+new ' || x || ' of ' || hunk_id for x in range(1, nc + 1)], chr(10)) AS diff, sha AS sources FROM sized""")
+def model_context(spark: SparkSession, sf: str) -> DataFrame:
+    found = responses.model_context(with_lines(view(spark, sf, "hunks")))
+    return found.select("changeset_id", "hunk_id", "file_path", "diff", _listed("likely_source_commits").alias("sources"))
+
+
+@_query(with_views("commits") + """ SELECT changeset_id, position, CASE WHEN position % 3 < 2 THEN 'New ' || position END AS new_short FROM commits""")
+def reworded_commits(spark: SparkSession, sf: str) -> DataFrame:
+    commits = view(spark, sf, "commits")
+    body = F.to_json(F.struct(F.concat(F.lit("New "), F.col("position").cast("string")).alias("short_description"), F.lit("").alias("long_description")))
+    answers = commits.where("position % 3 < 2").select("changeset_id", "sha", body.alias("response")).union(commits.where("position % 3 = 2").select("changeset_id", "sha", F.lit("no")))
+    return assessment.rewords(commits, answers).select("changeset_id", "position", "new_short")
+
+
+@_query(with_views("hunks") + """ SELECT changeset_id, hunk_id, 1::BIGINT AS old_start, 1 + (old_count % 3)::BIGINT AS old_count, 1 + (new_count % 2)::BIGINT AS new_count FROM hunks""")
+def raw_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("plain line\n"), F.expr("repeat('-gone\\n', cast(old_count % 3 as int))"), F.lit("\n"), F.expr("repeat('+come\\n', cast(new_count % 2 as int))"))
+    return view(spark, sf, "hunks").select("changeset_id", "hunk_id", raw_fragment(text).alias("h")).select("changeset_id", "hunk_id", "h.old_start", "h.old_count", "h.new_count")
+
+
+@_query(with_views("planned", "hunks") + """ SELECT h.changeset_id, coalesce(max(commit_id), 0) + 1 AS next_id FROM (SELECT DISTINCT changeset_id FROM hunks) h
+LEFT JOIN planned p ON p.changeset_id = h.changeset_id AND commit_pos < h.changeset_id % 3 GROUP BY ALL""")
+def next_commit_ids(spark: SparkSession, sf: str) -> DataFrame:
+    some = view(spark, sf, "planned").where("commit_pos < changeset_id % 3")
+    return assignment.next_ids(some, view(spark, sf, "hunks").select("changeset_id").distinct()).select("changeset_id", "next_id")
+
+
+@_query(with_views("hunks") + """ SELECT changeset_id, hunk_id, CASE hunk_id % 11 WHEN 0 THEN 'missing' ELSE 'unexpected' END AS side FROM hunks WHERE hunk_id % 11 < 2""")
+def integrity_differences(spark: SparkSession, sf: str) -> DataFrame:
+    hunks = view(spark, sf, "hunks").select("changeset_id", "hunk_id")
+    return assignment.same_rows(hunks.where("hunk_id % 11 <> 1"), hunks.where("hunk_id % 11 <> 0"))
+
+
+@_query(with_views("scores") + """, r AS (SELECT changeset_id, 'improved' AS verdict FROM scores)
+SELECT changeset_id, 'json' AS fmt FROM (SELECT DISTINCT changeset_id FROM r) UNION ALL SELECT changeset_id, 'markdown' FROM (SELECT DISTINCT changeset_id FROM r)
+UNION ALL SELECT changeset_id, 'pretty' FROM (SELECT DISTINCT changeset_id FROM r)""")
+def report_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Which change sets get a report in each format; the texts are held to literal cases in the tests."""
+    scores = view(spark, sf, "scores")
+    commits = assessment.numbered(scores).withColumn("short", F.col("sha"))
+    ends = scores.groupBy("changeset_id").agg(F.min("sha").alias("base_sha"), F.max("sha").alias("head_sha"))
+    made = [reports.range_report(scores, commits, ends, f).select("changeset_id", F.when(F.length("report") > 20, f).alias("fmt")) for f in ("json", "markdown", "pretty")]
+    return made[0].union(made[1]).union(made[2])
+
+
+@_query(None)
+def comparison_reports(spark: SparkSession, sf: str) -> DataFrame:
+    scores = view(spark, sf, "scores")
+    return reports.comparison_report(scores.where("day < DATE '2024-01-16'"), scores.where("day >= DATE '2024-01-16'"), "markdown")
+
+
+@_query(None)
+def settled_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues left once the fixes have run; those that fixes can mend are gone."""
+    plan, hunks = _plan(spark, sf)
+    fixed = repair.deterministic_fixes(plan, hunks)
+    return validation.validate_plan(strategies.Plan(fixed.commits, fixed.changes), hunks).groupBy("issue_type").agg(F.count("*").alias("n"))
