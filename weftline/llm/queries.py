@@ -18,6 +18,7 @@ from .quality import quality_rules
 from .secrets import BASE_KINDS, find_secrets, listed
 from .simhash import near_duplicate_groups
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import FETCHED, URL_SQL, filter_urls, page_entries
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
@@ -42,6 +43,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched"))
+    told = F.array_join(F.transform("active", lambda x: F.concat_ws("|", x["list"], x["value"], x["since"].cast("string"))), ",")
+    return filter_urls(pages, page_entries(pages)).select(
+        "page_id", F.col("fetched").cast("string").alias("fetched"), F.size("active").cast("long").alias("n_active"), "blocked", told.alias("active"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     return mix_sources(cut(docs)).select("doc_id", "size", "source_size", "target", "taken")
@@ -92,6 +100,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
+    "op3_urls": op3_urls,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_embeddings": op6_embeddings,
@@ -102,6 +111,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_urls": URL_SQL,
     "op4_mixing": MIX_SQL,
     "op5_chat": DIGEST_SQL,
 }
