@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from weftline.functions import text as X
+from weftline.functions.rubric import CRITERIA
 from weftline.operators import assignment
 from weftline.operators.ranges import CommitRange, adjust_positions, context_commits, overlapping_hunks
 from weftline.plans import assessment, hierarchical, loop, repair, responses, strategies, validation
@@ -188,7 +189,7 @@ def test_score_responses(spark, items, error):
 
 
 def test_reports(spark):
-    scores = spark.createDataFrame([(1, "s1" * 8, c, 4) for c in reports.CRITERIA], "changeset_id long, sha string, criterion string, level int")
+    scores = spark.createDataFrame([(1, "s1" * 8, c, 4) for c in CRITERIA], "changeset_id long, sha string, criterion string, level int")
     better = scores.withColumn("level", F.lit(5))
     commits = spark.createDataFrame([(1, "s1" * 8, 0, "Do it")], "changeset_id long, sha string, position int, short string")
     ends = spark.createDataFrame([(1, "b" * 12, "h" * 12)], "changeset_id long, base_sha string, head_sha string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rubric import CRITERIA, TITLES, place
+from ..functions.rubric import TITLES, place
 from ..functions.text import short_sha
 from ..plans.assessment import changed_notes, commit_scores, compact_report, compare_ranges, criterion_stats, range_scores
 
@@ -112,6 +112,3 @@ def wrap_words(text: str, width: int) -> list[str]:
             lines.append(word)
     return lines if len(lines) == 1 or lines[-1] else lines[:-1]
 
-
-def criterion_order() -> list[str]:
-    return sorted(CRITERIA, key=TITLES.__getitem__)
