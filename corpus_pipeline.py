@@ -19,7 +19,7 @@ from weftline.llm.language import fit_languages, held_out, predict_languages
 from weftline.llm.mixing import mix_sources, repeat_copies, word_count
 from weftline.llm.queries import BPE_VOCAB
 from weftline.llm.secrets import redact_secrets
-from weftline.llm.simhash import keep_one_of_each_group
+from weftline.llm.simhash import SIMILARITY, keep_one_of_each_group
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -37,8 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return keep_one_of_each_group(docs).select(*docs.columns)
+    """One document of each group of near-duplicates, by fingerprint or by five-word shingles."""
+    return keep_one_of_each_group(docs, similarity=SIMILARITY).select(*docs.columns)
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

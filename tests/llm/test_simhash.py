@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+
+import corpus_pipeline as C
 from weftline.llm import simhash as S
 from weftline.llm.graph import components
 
@@ -101,3 +103,38 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert S.near_duplicate_groups(df).count() == 0
     assert S.keep_one_of_each_group(df).count() == 0
+
+
+def test_similar_texts_are_one_group(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = rnd.choices(words, k=rnd.randrange(6, 300))
+        texts.append(" ".join(base))
+        for n in (1, 2, 4, 8, 12):
+            changed = base[:]
+            for at in rnd.sample(range(len(base)), min(n, len(base))):
+                changed[at] = rnd.choice(words)
+            texts.append(" ".join(changed))
+    rows = [*enumerate(texts), (1000, None), (1001, ""), (1002, "one two"), (1003, "One  TWO"), (1004, "one three")]
+
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets, prints, group = {i: shingles(t) for i, t in rows}, {i: S.fingerprint(t) for i, t in rows}, {i: i for i, _ in rows}
+    beyond = 0
+    for i in sets:
+        for j in (j for j in sets if j < i):
+            far = ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() > 3
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and sets[i]
+            beyond += bool(alike and far)
+            if alike or not far:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_groups(df, similarity=0.8).collect()}
+    assert beyond > 50 and got == group
+    assert C.near_dedup(spark, df, "").count() == len(set(group.values()))
+    assert S.keep_one_of_each_group(df).count() > len(set(group.values()))
