@@ -142,6 +142,16 @@ def test_overlaps_and_shifts_equal_brute_force(spark):
         assert {r.hunk_id: r.adjusted_start for r in adjust_positions(df, crowded).collect()} == shift
 
 
+def test_shifts_of_crowded_files_count_every_digit(spark):
+    rnd = random.Random(4)
+    places = [0, 3, 2**20 - 1, 2**20, 2**21 + 5, 1_800_000, 2**31 - 1]
+    rows = [(1, rnd.choice("ab"), i, rnd.choice(places), i, rnd.randrange(3000), 2, rnd.randrange(40)) for i in range(120)]
+    df = spark.createDataFrame(rows, "changeset_id long, file_path string, hunk_id long, commit_pos int, change_pos int, old_start long, old_count long, new_count long")
+    want = {a[2]: a[5] + sum(b[7] - b[6] for b in rows if a[1] == b[1] and b[3] < a[3] and b[5] < a[5]) for a in rows}
+    for crowded in (0, 10**6):
+        assert {r.hunk_id: r.adjusted_start for r in adjust_positions(df, crowded).collect()} == want
+
+
 def test_same_rows_counts_repeats(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([("x", 1), (None, 3), (None, 3)], "v string, k int")
