@@ -129,6 +129,14 @@ def test_fixes_leave_nothing_to_fix(spark):
     assert {r.commit_id for r in nothing.commits.collect()} == {1}
 
 
+def test_settled_plans_keep_issues_of_dependencies(spark):
+    # Commit 2 is left empty: its own dependency goes, the one on it stays.
+    plan = _plan(spark, [(0, "First", [0]), (1, "Second", [1]), (2, "Third", [1]), (3, "Fourth", [2])], [(0, 1), (1, 0), (2, 8), (3, 2), (3, 9)])
+    fixed, issues = loop.settle(plan, _hunks(spark, 3))
+    assert sorted((r.commit_id, r.depends_on) for r in fixed.deps.collect()) == [(0, 1), (1, 0), (3, 2), (3, 9)]
+    assert sorted((r.issue_type, r.commit_b) for r in issues.collect()) == [("CyclicDependency", None), ("InvalidDependency", 2), ("InvalidDependency", 9)]
+
+
 def test_overlaps_and_shifts_equal_brute_force(spark):
     rnd = random.Random(3)
     rows = [(1, rnd.choice("ab"), i, rnd.randrange(5), rnd.randrange(5), rnd.randrange(3000), rnd.choice([0, 1, 30, 900, 40_000]), rnd.randrange(40)) for i in range(150)]

@@ -119,7 +119,8 @@ def cycles(deps: DataFrame, commits: DataFrame) -> DataFrame:
         for node, to in zip(part["commit_id"].tolist(), part["depends_on"].tolist()):
             edges.setdefault(node, []).append(to)
         found = first_cycle(list(edges), edges)
-        return pd.DataFrame({"changeset_id": part["changeset_id"].iloc[:1] if found else [], "commit_ids": [found] if found else []})
+        # Arrow reads a column of no lists only if its type is object.
+        return pd.DataFrame({"changeset_id": part["changeset_id"].iloc[: 1 if found else 0].tolist(), "commit_ids": pd.Series([found] if found else [], dtype=object)})
 
     found = placed.groupBy("changeset_id").applyInPandas(walk, "changeset_id long, commit_ids array<long>")
     return _issues(found, "CyclicDependency")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import view, with_lines, with_views
 from .functions import text as X
 from .operators import assignment, attribution, ranges
-from .plans import assessment, hierarchical, repair, responses, strategies, validation
+from .plans import assessment, hierarchical, loop, repair, responses, strategies, validation
 from .sinks import plan_files, reports
 from .sinks.patches import FLAGS, hunk_body, hunk_struct, mode_patches, whole_file_hunk, write_patches
 from .sources.diff import parse_diff, raw_fragment
@@ -694,7 +694,6 @@ def comparison_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(None)
 def settled_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues left once the fixes have run; those that fixes can mend are gone."""
+    """Issues left once the plans, with their dependencies, have gone through the loop of checks and fixes."""
     plan, hunks = _plan(spark, sf)
-    fixed = repair.deterministic_fixes(plan, hunks)
-    return validation.validate_plan(strategies.Plan(fixed.commits, fixed.changes), hunks).groupBy("issue_type").agg(F.count("*").alias("n"))
+    return loop.settle(plan, hunks)[1].groupBy("issue_type").agg(F.count("*").alias("n"))
