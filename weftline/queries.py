@@ -100,6 +100,14 @@ def sha_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.match_sha_prefix(commits.where("position % 3 = 0").select("changeset_id", F.left("sha", F.lit(6)).alias("wanted")), commits)
 
 
+@_query(with_views("commits") + """, wanted AS (SELECT changeset_id, left(sha, 6) AS wanted FROM commits)
+SELECT w.changeset_id, wanted, arg_min(sha, position) AS sha FROM wanted w JOIN commits c ON w.changeset_id = c.changeset_id AND (starts_with(sha, wanted) OR starts_with(wanted, sha)) GROUP BY ALL""")
+def sha_prefix_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every commit's prefix; ``sha_prefix_match`` asks for those of a third."""
+    commits = view(spark, sf, "commits")
+    return attribution.match_sha_prefix(commits.select("changeset_id", F.left("sha", F.lit(6)).alias("wanted")), commits)
+
+
 @_query(with_views("hunks", "commits") + """, seen AS (SELECT h.changeset_id, file_path, min(struct_pack(p := position, h := hunk_id)) AS seen_at
   FROM hunks h JOIN commits c ON h.changeset_id = c.changeset_id AND h.sha = c.sha GROUP BY ALL)
 SELECT changeset_id, row_number() OVER (PARTITION BY changeset_id ORDER BY seen_at, file_path) - 1 AS place, file_path FROM seen""")
