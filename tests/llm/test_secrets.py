@@ -92,3 +92,21 @@ def test_rows(spark):
     assert clean.columns == df.columns
     assert sorted(str(r.text) for r in clean.collect()) == ["", "None", "[SECRET]", "[SECRET]"]
     assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def test_tokens_by_their_json_and_keys_within_base64():
+    code = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    head = code(b'{"alg":"HS256"}')
+    for first, claims in ((head, b"{}"), (head, b'{\n  "sub": "x"\n}'), (code(b' {"alg": "HS256"}'), b"{}"), (code(json.dumps({"alg": "none"}, indent=1).encode()), b'{"a":1}')):
+        token = f"{first}.{code(claims)}.c2ln"
+        for before in ("", "see ", "www.", "a.b."):
+            assert S.scan(f"{before}{token} end") == [("jwt", len(before), len(before) + len(token))]
+    assert S.scan("www.example.org and 1.2.3.4") == []
+    body = base64.b64encode(bytes(range(96))).decode()
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00", "", body[:64], body[64:], "-----END RSA PRIVATE KEY-----"]
+    for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+        pem = end.join(lines)
+        assert S.scan(f"a {pem} b") == [("pem", 2, 2 + len(pem))]
+        packed = base64.b64encode(pem.encode()).decode()
+        assert S.scan(f"client-key-data: {packed} b") == [("pem", 17, 17 + len(packed))]
+    assert S.scan(base64.b64encode(b"-----BEGIN CERTIFICATE-----" + b"x" * 99).decode()) == []

@@ -40,13 +40,17 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----")
 _DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f])")
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{40,}={0,2}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+#: Looks ahead, so that a part may begin a token though one before it does not.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=(([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*))")
+#: Base64 long enough to hold a PEM text, its lines of BEGIN and END included.
+_LONG64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{100,}={0,2}")
+_BLANK = re.compile(r"(?:\r?\n|(?:\\r)?\\n){2}")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 
 def _decoded(text: str) -> bytes | None:
     """The bytes of base64 text in either alphabet, with or without padding."""
-    text = re.sub(r"\s|\\n", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = re.sub(r"\s|\\[rn]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -113,31 +117,46 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def scan(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every secret, by start, then kind as listed."""
-    text = text or ""
+def pem_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the private keys in PEM form; what follows the headers of an encrypted one need only be base64."""
     found = []
-    if _NAME.search(text):
-        found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-    if "AKIA" in text:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             end = text.find("-----", m.end())
             foot = m[0].replace("BEGIN", "END")
             if end >= 0 and text.startswith(foot, end):
                 body = text[m.end() : end]
-                body = body.rpartition("\n\n")[2] if "Proc-Type:" in body else body
+                body = _BLANK.split(body)[-1] if "Proc-Type:" in body else body
                 data = _decoded(body)
                 if is_private_key(data) or is_ssh_key(data) or data and body != text[m.end() : end]:
-                    found.append(("pem", m.start(), end + len(foot)))
+                    found.append((m.start(), end + len(foot)))
+    return found
+
+
+def scan(text: str | None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every secret, by start, then kind as listed."""
+    text = text or ""
+    found = []
+    if _NAME.search(text):
+        found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+    if "AKIA" in text:
+        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    found += [("pem", *span) for span in pem_keys(text)]
+    for m in _LONG64.finditer(text):
+        data = _decoded(m[0])
+        if data and b"PRIVATE KEY-----" in data and pem_keys(data.decode("latin-1")):
+            found.append(("pem", *m.span()))
     found += [("key", *m.span()) for m in _DER64.finditer(text) if is_private_key(_decoded(m[0]))]
     found += [("key", *m.span()) for m in _DERHEX.finditer(text) if is_private_key(bytes.fromhex(m[0]))]
     if "b3BlbnNzaC1rZXktdjEA" in text:
         found += [("ssh", *m.span()) for m in _SSH64.finditer(text) if is_ssh_key(_decoded(m[0]))]
-    if ".ey" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    if text.count(".") > 1:
+        reach = 0
+        for m in _JWT.finditer(text):
+            if m.start() >= reach and is_signed_token(m[2], m[3]):
+                found.append(("jwt", *m.span(1)))
+                reach = m.end(1)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
