@@ -573,22 +573,34 @@ def change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.change_counts(orders)
 
 
-@_query(with_views("hunks") + """, topped AS (SELECT *, max(hunk_id) OVER (PARTITION BY changeset_id) AS most FROM hunks),
-parts AS (SELECT *, row_number() OVER (PARTITION BY changeset_id ORDER BY hunk_id) AS n FROM topped WHERE least(old_count, 5) + least(new_count, 5) >= 2)
-SELECT changeset_id, most + n AS hunk_id, file_path, (least(old_count, 5) >= 1)::INT::BIGINT + (least(old_count, 5) >= 2)::INT AS old_count FROM parts
-QUALIFY max(hunk_id) OVER (PARTITION BY changeset_id) = most""")
-def partial_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Plans that take the first two lines of each hunk that has two, for change sets whose last hunk has."""
+def _partial_changes(spark: SparkSession, sf: str, which: str) -> DataFrame:
     hunks = with_lines(view(spark, sf, "hunks"))
     spec = F.struct(F.lit("partial").alias("type"), "hunk_id", F.array(F.lit(1), F.lit(2)).alias("lines"))
     used = hunks.where("old_count + new_count >= 2").groupBy("changeset_id").agg(F.array_sort(F.collect_list(spec)).alias("s"), F.max("hunk_id").alias("m"))
-    used = used.join(hunks.groupBy("changeset_id").agg(F.max("hunk_id").alias("most")), "changeset_id").where("m = most")
+    used = used.join(hunks.groupBy("changeset_id").agg(F.max("hunk_id").alias("most")), "changeset_id").where(which)
     commit = F.array(F.struct(F.lit("One").alias("short_description"), F.lit("").alias("long_description"), F.col("s").alias("changes")))
     made = used.select("changeset_id", F.to_json(F.struct(commit.alias("commits"))).alias("response"))
     changes = responses.convert_changes(responses.read_plans(made)[0], hunks)
     return changes.select("changeset_id", "hunk_id", "file_path", "new_hunk.old_count")
 
 
+@_query(with_views("hunks") + """, topped AS (SELECT *, max(hunk_id) OVER (PARTITION BY changeset_id) AS most FROM hunks),
+parts AS (SELECT *, row_number() OVER (PARTITION BY changeset_id ORDER BY hunk_id) AS n FROM topped WHERE least(old_count, 5) + least(new_count, 5) >= 2)
+SELECT changeset_id, most + n AS hunk_id, file_path, (least(old_count, 5) >= 1)::INT::BIGINT + (least(old_count, 5) >= 2)::INT AS old_count FROM parts
+QUALIFY max(hunk_id) OVER (PARTITION BY changeset_id) = most""")
+def partial_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans that take the first two lines of each hunk that has two, for change sets whose last hunk has."""
+    return _partial_changes(spark, sf, "m = most")
+
+
+@_query(with_views("hunks") + """, topped AS (SELECT *, max(hunk_id) OVER (PARTITION BY changeset_id) AS most FROM hunks),
+parts AS (SELECT *, row_number() OVER (PARTITION BY changeset_id ORDER BY hunk_id) AS n FROM topped WHERE least(old_count, 5) + least(new_count, 5) >= 2)
+SELECT changeset_id, most + n AS hunk_id, file_path, (least(old_count, 5) >= 1)::INT::BIGINT + (least(old_count, 5) >= 2)::INT AS old_count FROM parts""")
+def partial_changes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for every change set, whatever its last hunk."""
+    return _partial_changes(spark, sf, "true")
+
+
 # --- Sources, stored plans and answers --------------------------------------------------------------------------
 
 
