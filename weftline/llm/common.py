@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +16,45 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a lookup table is broadcast after its rows have been counted.
 BROADCAST_ROWS = 100_000
+#: Texts in one Arrow batch at most, lest a batch of long ones fill the memory that JVM and worker share.
+BATCH_ROWS = 500
+#: A key with more than one in so many rows is hot; there can be no more hot keys than that.
+HOT_SHARE = 1000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """Use the shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder is used only on one machine (tests); a cluster of several has to name one.
+    """
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+    drop_at_exit(spark, sc.getCheckpointDir())
+
+
+def drop_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have ``folder``, which holds what this application has put there, removed when the application ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to a Python worker at a time; a lower number that somebody has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,6 +97,24 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def text_column(spark: SparkSession, kind: str, work: Callable[[], Callable[[list[str | None]], pa.Array]], limit: int = 4 << 20):
+    """A column function of texts: ``work()`` is called once a task and gives what turns a list of texts into an array of ``kind``.
+
+    Only the text goes to the worker, about ``limit`` bytes at a time, and only the result comes back.
+    """
+    bound_batches(spark)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn = work()
+        for batch in batches:
+            parts = [turn(part.column(0).to_pylist()) for part in small_slices([pa.RecordBatch.from_arrays([batch], names=["text"])], "text", limit)]
+            yield pa.concat_arrays(parts) if parts else turn([])
+
+    # Else a condition on the result would be pushed below it and have every text read twice.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def append(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
@@ -80,7 +130,20 @@ def join_lookup(left: DataFrame, lookup: DataFrame, on: str, limit: int = BROADC
     if table.limit(limit + 1).count() <= limit:
         return left.join(F.broadcast(table), F.col(on).eqNullSafe(F.col(key)), "left").drop(key)
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cols = [F.col(c) for c in left.columns]
+    cols = [F.col(f.name) for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = left.withColumn("__row_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
     on_both = F.col(on).eqNullSafe(F.col(key)) & (F.col("__row_salt") == F.col("__salt"))
     return spread.join(salted, on_both, "left").drop(key, "__salt", "__row_salt")
+
+
+def join_hot(left: DataFrame, lookup: DataFrame, on: str, hot: DataFrame, salt: Column, salts: int = 32) -> DataFrame:
+    """Left join to a lookup table with one row per key; ``hot`` holds keys that each have over 1 / HOT_SHARE of the rows.
+
+    There are HOT_SHARE of these at most, so they are broadcast; ``left`` is salted by ``salt`` for them alone, and only
+    their rows of the lookup are repeated.
+    """
+    mark = F.broadcast(hot.select(on).distinct().withColumn("__hot", F.lit(True)))
+    spread = left.join(mark, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(salts))).otherwise(0).cast("int"))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    table = lookup.join(mark, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return spread.drop("__hot").join(table, [on, "__salt"], "left").drop("__salt")
