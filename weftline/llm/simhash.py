@@ -12,13 +12,13 @@ rather than all of them; components stay whole.
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other;
 a text of one or two words is one shingle; rows with equal ids share what their texts get; a group's id is its
 smallest id that is not null, null only if it has none; an empty table gives an empty result; input columns named
-like an output column are replaced. A text is hashed in chunks, so memory does not follow its length
-(in ``similar_links`` it does, by 8 bytes a shingle, and a group of n near copies makes n * n / 2 candidates).
+like an output column are replaced. A text is hashed in chunks, so memory does not follow its length (in
+``similar_links`` it does, by 8 bytes a shingle). n sets of shingles that hang together are compared in (n / 512)^2 / 2
+pairs of blocks; sets that no text shares or nearly shares cost nothing there.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, cut, small_slices, with_fields, without
+from .common import BROADCAST_ROWS, HOT_SHARE, cut, join_hot, join_lookup, text_column, without
 from .graph import components
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -37,7 +37,11 @@ WORDS, MAX_BITS, SEED = 3, 3, 42
 HOT, BLOCK = 512, 2048
 #: Texts that share this part of their shingles of so many words are near copies, whatever their fingerprints.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 8
+#: Sets, and shingles in them, that make a block of the verification.
+PER_BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+SKETCH = "struct<fp:long,x:long,n:long,bands:array<long>>"
+_COLUMNS = 4096
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -75,12 +79,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def simhash(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS) -> DataFrame:
     """``df`` with the fingerprint of ``text`` as a long."""
     df = without(df, out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, text):
-            yield append(batch, [out], [pa.array([fingerprint(t, words) for t in batch.column(text).to_pylist()], pa.int64())])
-
-    return df.mapInArrow(run, with_fields(df, f"`{out}` long"))
+    prints = text_column(df.sparkSession, "long", lambda: lambda texts: pa.array([fingerprint(t, words) for t in texts], pa.int64()))
+    return df.withColumn(out, prints(text))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, bits: int) -> list[tuple[int, int]]:
@@ -149,67 +149,101 @@ def near_pairs(fingerprints: DataFrame, fp: str = "fingerprint") -> DataFrame:
     return links if more is None else links.union(more)
 
 
-def _sketch(text: str | None, words: int) -> tuple[bytes | None, int, list[int]]:
-    """Digest and size of the set of shingles, and a key for each band of its min-hashes."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
     parts = [np.unique(np.array(h, np.uint64)) for h in shingle_hashes(text, words)]
-    if not parts:
-        return None, 0, []
-    found = np.unique(np.concatenate(parts))
-    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
-    for i in range(0, len(found), 1024):
-        np.minimum(least, (_FACTORS[:, None] * found[None, i : i + 1024]).min(1), out=least)
-    raw = least.tobytes()
-    keys = [xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) for i in range(0, len(raw), 8 * ROWS)]
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def similar_links(df: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
-    """Links (a, b) of fingerprints that belong to texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _sketches(texts: list[str | None], words: int) -> pa.StructArray:
+    """Fingerprint, name (64-bit digest) and size of the set of shingles, and a key for each band of its min-hashes."""
+    prints, names, sizes, bands = [], [], [], []
+    for t in texts:
+        found = shingle_set(t, words)
+        least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+        for i in range(0, len(found), 1024):
+            np.minimum(least, (_FACTORS[:, None] * found[None, i : i + 1024]).min(1), out=least)
+        raw = least.tobytes()
+        prints.append(fingerprint(t))
+        names.append(xxhash.xxh64_intdigest(found.tobytes()))
+        sizes.append(len(found))
+        bands.append(np.array([xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) for i in range(0, len(raw), 8 * ROWS)], np.uint64).view(np.int64))
+    columns = [pa.array(prints, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(columns, ["fp", "x", "n", "bands"])
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of elements that each of the ``left`` sets shares with each of the ``right`` ones (positions in ``sets``)."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    code, owner = (np.cumsum(times > 1) - 1)[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    both = np.zeros((len(left), len(right)))
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+        low, high = np.searchsorted(code, (start, start + _COLUMNS))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[owner[low:high], code[low:high] - start] = 1
+        both += has[left] @ has[right].T
+    return both
+
+
+def _alike(table: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) of fingerprints that join the sets of two blocks just as all their similar pairs would."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    own, prints = table.column("own").to_numpy(), table.column("fp").to_numpy()
+    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("h")]
+    left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+    both, sizes = _overlaps(sets, left, right), np.array([len(s) for s in sets])
+    near = both / (sizes[left][:, None] + sizes[right][None, :] - both) >= similarity
+    a, b = np.nonzero(near)
+    a, b = left[a], right[b]
+    root, before = np.arange(len(sets)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        np.minimum.at(root, a, before[b])
+        np.minimum.at(root, b, before[a])
+    far = np.nonzero(prints != prints[root])[0]
+    return pa.table({"a": pa.array(prints[far], pa.int64()), "b": pa.array(prints[root[far]], pa.int64())})
+
+
+def similar_links(df: DataFrame, sketched: DataFrame, text: str, key: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+    """Links (a, b) of fingerprints that join all texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
     SimHash can't find these: at 0.8 about ten of 64 bits differ, and a ball of that radius can't be enumerated. Sets that
-    agree in a band of ROWS min-hashes are candidates, and the similarity of each is computed from all their shingles. A
-    pair at 0.8 meets in none of the BANDS bands with probability (1 - 0.8^4)^32, 5 in 10^8. Equal sets meet before.
+    agree in a band of ROWS min-hashes are candidates. A pair at 0.8 agrees in none of the BANDS bands with probability
+    (1 - 0.8^8)^40, 6 in 10^4, one at 0.85 with 3 in 10^6. Sets that hang together by candidates are compared on all
+    their shingles, in blocks of PER_BLOCK sets or BLOCK_SHINGLES shingles, and each pair of blocks that has a candidate
+    sends on a spanning forest of its links. So no list of pairs is made, however large a group of near copies is.
     """
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.md5("text"))
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text"):
-            rows = batch.column("text").to_pylist()
-            d, n, keys = zip(*(_sketch(t, words) for t in rows))
-            columns = [pa.array([fingerprint(t) for t in rows], pa.int64()), pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("t"), *columns], names=["t", "fp", "d", "n", "bands"])
-
-    sketched = cut(texts.mapInArrow(sketches, "t string, fp long, d binary, n long, bands array<long>").where("n > 0"))
-    sets = cut(sketched.groupBy("d").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.min("fp").alias("least"), F.min("bands").alias("bands")))
-    equal = sketched.select("d", "fp").distinct().join(sets.select("d", "least"), "d").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    table = sets.select("d", "n", F.posexplode("bands").alias("k", "s"))
-    # Sets whose sizes differ by more than the similarity allows can't reach it.
-    close = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(similarity) - 1e-6
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d")) & close
-    pairs = cut(table.alias("x").join(table.alias("y"), on).select(F.col("x.d").alias("x"), F.col("y.d").alias("y")).distinct())
-    asked = pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct()
-    asked = asked.join(sets.select("d", "t", "least"), "d")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text"):
-            found = [np.unique(np.concatenate([np.array(h, np.uint64) for h in shingle_hashes(t, words)])).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("least"), pa.array(found, pa.binary())], names=["d", "fp", "h"])
-
-    wanted = texts.join(asked, "t").dropDuplicates(["t"]).select("d", "least", "text")
-    members = cut(wanted.mapInArrow(shingled, "d binary, fp long, h binary"))
-    left, right = members.toDF("x", "a", "left"), members.toDF("y", "b", "right")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "left"):
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    checked = pairs.join(left, "x").join(right, "y").where("a <> b").select("a", "b", "left", "right")
-    return equal.union(checked.mapInArrow(verified, "a long, b long"))
+    sets = sketched.where("n > 0").groupBy("x").agg(
+        F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("of"), F.min("bands").alias("bands"))
+    sets = cut(sets)
+    equal = sketched.where("n > 0").select("x", F.col("fp").alias("a")).distinct().join(sets.select("x", F.col("fp").alias("b")), "x").where("a <> b").select("a", "b")
+    banded = sets.select("x", F.explode("bands").alias("s")).repartition("s")
+    first = banded.groupBy("s").agg(F.min("x").alias("c"), F.max("x").alias("m")).where("c <> m").select("s", "c")
+    crowded = cut(banded.join(first, "s"))
+    hanging = components(crowded.select("x", "c"), "x", "c").select(F.col("node").alias("x"), "root")
+    hanging = cut(hanging.join(sets.drop("bands"), "x"))
+    weights = hanging.groupBy("root").agg(F.greatest(F.count("*") / PER_BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("load"))
+    own = F.pmod(F.xxhash64("x"), F.ceil("load")).cast("int").alias("own")
+    placed = crowded.select("x", "s").join(hanging.select("x", "root").join(weights, "root").select("x", "root", own), "x")
+    blocks = placed.select("s", F.col("own").alias("other")).distinct()
+    cells = placed.join(blocks, "s").select("x", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
+    asked = hanging.select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t"), "x", "fp")
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    hashes = text_column(df.sparkSession, "binary", lambda: lambda texts: pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary()))
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    wanted = texts.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (_text_name("text") == F.col("__t"))).select("x", "fp", hashes("text").alias("h"))
+    # Rows with one id and one text are one set; each counts once.
+    work = cells.join(wanted, "x").select("root", "i", "j", "own", "fp", "h")
+    return equal.union(work.groupBy("root", "i", "j").applyInArrow(lambda t: _alike(t, similarity), "a long, b long"))
+
+
+def _text_name(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
@@ -217,19 +251,25 @@ def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     With ``similarity``, texts whose five-word shingles are at least that similar (Jaccard) are linked as well.
     """
-    prints = cut(simhash(df.select(key, text), text).select(F.col(key).alias("id"), F.col("fingerprint").alias("fp")))
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    if similarity is None:
+        prints = cut(simhash(docs, "text", "fp").select("id", "fp"))
+    else:
+        sketch = text_column(df.sparkSession, SKETCH, lambda: lambda texts: _sketches(texts, SIMILAR_WORDS))
+        prints = cut(docs.select("id", _text_name("text").alias("t"), sketch("text").alias("s")).select("id", "t", "s.*"))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     links = near_pairs(nodes, "fp")
     if similarity is not None:
-        links = links.union(similar_links(df, text, similarity))
+        links = links.union(similar_links(df, prints, text, key, similarity))
     roots = components(links, "a", "b")
     linked = roots.join(nodes.select(F.col("fp").alias("node"), "least"), "node")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
     groups = nodes.join(linked, "fp", "left").where("n > 1 or linked")
-    groups = groups.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("group_id"))
+    groups = groups.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("group_id"), F.lit(True).alias("found"))
+    hot = nodes.where(F.col("n") * HOT_SHARE > nodes.agg(F.sum("n")).first()[0]) if not nodes.isEmpty() else nodes
     # Of a lone fingerprint nothing needs to be looked up.
-    return prints.join(groups.withColumn("found", F.lit(True)), "fp", "left").select(
+    return join_hot(prints.select("id", "fp"), groups, "fp", hot, F.col("id")).select(
         F.col("id").alias(key), F.col("fp").alias("fingerprint"),
         F.when(F.col("found"), F.col("group_id")).otherwise(F.col("id")).alias("component_id"),
     )
@@ -242,8 +282,11 @@ def keep_one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text
     compared by text: they go if their group holds a key, else one of each fingerprint stays.
     """
     groups = cut(near_duplicate_groups(df, key, text, similarity))
-    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key)).distinct()
-    kept = df.join(first, key, "left_semi")
+    # The keys that go are fewer than those that stay, and the texts need no shuffle while they are few.
+    first = F.max(F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    gone = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(first.alias("first")).where("not first")
+    gone = cut(gone.select(F.col(key), F.lit(True).alias("__gone")))
+    kept = join_lookup(df, gone, key).where(F.col("__gone").isNull() & F.col(key).isNotNull()).select(*df.columns)
     if groups.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).limit(1).count():
         kept = _first_rows(kept, key, text)
     if groups.where(F.col("component_id").isNull()).limit(1).count():
