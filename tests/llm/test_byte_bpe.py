@@ -50,3 +50,33 @@ def test_rows(spark, codecs):
     assert encode_bpe(df.limit(0), PATH, P.PATTERN).count() == 0
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [bytes(r.decoded) for r in decode_bpe(nulls, PATH, P.PATTERN).collect()] == [b"", b""]
+
+
+def test_kinds_are_those_of_the_library(codecs):
+    flat, tree = codecs
+    raw = open(PATH, "rb").read()
+    whole = TreeCodec(raw, P.PATTERN)
+    rnd = random.Random(8)
+    code_points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for n in range(1000):
+        text = "".join(map(chr, rnd.choices(code_points, k=rnd.randrange(1, 3000))))
+        text = text if n % 2 else "".join(c for c in text if not c.isspace())
+        assert (whole if n % 5 else tree).encode(text) == flat.encode_ordinary(text)
+
+
+def test_ordinary_documents_are_joined(codecs):
+    flat, _ = codecs
+    tree = TreeCodec(open(PATH, "rb").read(), P.PATTERN)
+    text = "The quick brown fox doesn't jump over 42 lazy dogs. " * 60
+    assert tree.encode(text) == flat.encode_ordinary(text) and tree.joins == 7
+    with pytest.raises(ValueError):
+        TreeCodec(b"", r"\w+")
+
+
+@pytest.mark.parametrize("sign", ["a", "é", "1", "!", "'", " ", "\n"])
+def test_long_runs_are_joined_anywhere(codecs, sign):
+    flat, tree = codecs
+    for before in ("", " ", "x ", "x'", "!'", "x'l", " '", "don't "):
+        for after in ("", " ", "'s", "'re", "x", "1", "!"):
+            text = before + sign * 1500 + after
+            assert tree.encode(text) == flat.encode_ordinary(text), (before, after)
