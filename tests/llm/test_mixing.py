@@ -87,3 +87,19 @@ def test_unequal_probabilities(spark):
 def test_empty(spark):
     assert run(spark, [])[1].count() == 0
     assert [r.taken for r in run(spark, [(1, None, None), (2, "", "a")])[1].collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("rows", [
+    [(7, "w " * 10, "a")] * 1000, [(None, "w " * (10, 11, 12)[i % 3], "a") for i in range(1000)],
+    [(None, "w " * 10, None)] * 500 + [(i, "w " * 30, "b") for i in range(200)],
+])
+def test_repeated_rows_come_near_the_target(spark, rows):
+    for parts in (3,):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = M.mix_sources(df.withColumn("size", M.word_count("text"))).toPandas()
+        for _, part in got.groupby("source", dropna=False):
+            assert abs(part["taken"].sum() - part["target"].iat[0]) <= 0.01 * part["target"].iat[0]
+        con = duckdb.connect()
+        con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+        want = con.sql(M.MIX_SQL).df()
+        assert sorted(zip(got["size"], got["taken"])) == sorted(zip(want["size"], want["taken"]))

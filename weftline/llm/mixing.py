@@ -17,8 +17,11 @@ bucket that holds the cut is ordered. So no task sees a source's documents, the
 expression of its own columns and one row of its source, and texts are never shuffled.
 
 Edge cases: a null text has size 0; documents of size 0 are taken 0 words; null is a source of its own, the last;
-null keys are one key; rows with one key and size in a source share one fate; extra columns are kept, those named
-like an output column are replaced; an empty table gives an empty result. Reruns agree, in any partitioning.
+null keys are one key; rows with one key and size in a source have one rank, and where the cut falls among them as many
+are taken as come nearest to the target, of rows that are otherwise equal no matter which; extra columns are kept, those
+named like an output column are replaced; an empty table gives an empty result. Reruns agree, in any partitioning (but for
+which of several rows with one key, or without any, and one size are at the cut). One task orders the sources, a row
+each, and one the documents of a source in one of BUCKETS buckets of ranks.
 """
 
 from __future__ import annotations
@@ -99,14 +102,15 @@ def _prepared(df: DataFrame, key: str, size: str) -> DataFrame:
 
 
 def _weighed(df: DataFrame, cap: float, level: str = "__level", cut_at: str = "__cut") -> DataFrame:
-    """Documents joined to their source's plan, with certain copies, rank and whether they lie before the cut."""
+    """Documents joined to their source's plan, with certain copies, rank and whether they lie before the cut or at it."""
     copies = F.least(F.lit(float(cap)), F.col(level) * F.col("__class"))
     df = df.withColumn("__whole", F.floor(copies)).withColumn("__p", copies - F.floor(copies))
     df = df.withColumn("__q", F.when((F.col("__p") > 0) & (F.col("__words") > 0), _rank(F.col("__p"))))
     if cut_at not in df.columns:
         return df
     q, h = F.col(f"{cut_at}.q"), F.col(f"{cut_at}.h")
-    return df.withColumn("__in", F.coalesce((F.col("__q") < q) | ((F.col("__q") == q) & (F.col("__h") <= h)), F.lit(False)))
+    df = df.withColumn("__in", F.coalesce((F.col("__q") < q) | ((F.col("__q") == q) & (F.col("__h") < h)), F.lit(False)))
+    return df.withColumn("__at", F.coalesce((F.col("__q") == q) & (F.col("__h") == h), F.lit(False)))
 
 
 def _cut(docs: DataFrame, room: DataFrame) -> DataFrame:
@@ -119,15 +123,21 @@ def _cut(docs: DataFrame, room: DataFrame) -> DataFrame:
     edges = over.groupBy("__src").agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("below"), "__room")).alias("edge"))
     edges = cut(edges)
     edge = join_lookup(docs, edges, "__src").where(F.col("bucket") == F.col("edge.bucket"))
-    # Documents of one rank are one step, so repeated rows share one fate.
-    steps = edge.groupBy("__src", "__q", "__h").agg(F.sum("__words").alias("words"), F.first("edge").alias("edge"))
-    reached = F.col("edge.below") + F.sum("words").over(Window.partitionBy("__src").orderBy("__q", "__h"))
-    fits = reached - F.col("words") / 2 <= F.col("edge.__room")
-    cuts = steps.withColumn("fits", fits).groupBy("__src").agg(
-        F.max(F.when(F.col("fits"), F.struct(F.col("__q").alias("q"), F.col("__h").alias("h")))).alias("at"), F.min("__q").alias("low")
-    )
+    # Documents of one rank have one size; they are one step, of which as many are taken as come nearest to the room.
+    steps = edge.groupBy("__src", "__q", "__h").agg(F.count("*").alias("n"), F.first("__words").alias("each"), F.first("edge").alias("edge"))
+    earlier = Window.partitionBy("__src").orderBy("__q", "__h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("edge.below") + F.coalesce(F.sum(F.col("n") * F.col("each")).over(earlier), F.lit(0))
+    room = F.floor((F.col("edge.__room") - before) / F.col("each") + 0.5)
+    steps = steps.withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), room)).cast("long"))
+    last = F.max(F.when(F.col("take") > 0, F.struct(F.col("__q").alias("q"), F.col("__h").alias("h"), F.col("take").alias("some"), F.col("n"))))
+    cuts = steps.groupBy("__src").agg(last.alias("at"), F.min("__q").alias("low"))
     # If the edge bucket takes nothing, the cut lies just below its first document.
-    return cuts.select("__src", F.coalesce("at", F.struct(F.col("low").alias("q"), F.lit("").alias("h"))).alias("cut"))
+    return cuts.select("__src", F.coalesce("at", _nowhere(F.col("low"))).alias("cut"))
+
+
+def _nowhere(q: Column) -> Column:
+    """A cut below ``q`` at which no document lies."""
+    return F.struct(q.alias("q"), F.lit("").alias("h"), F.lit(0).cast("long").alias("some"), F.lit(0).cast("long").alias("n"))
 
 
 def _plus(plan: DataFrame, more: DataFrame) -> DataFrame:
@@ -148,10 +158,11 @@ def _plan_tier(plan: DataFrame, slim: DataFrame, sums: DataFrame, tier: int, cap
     mine = slim.where(F.col("__tier") == tier)
     cuts = _cut(_weighed(join_lookup(mine, plan, "__src"), cap), plan.select("__src", "__room"))
     # Without a cut the tier's documents don't go beyond the room: all are taken.
-    whole = F.struct(F.lit(float("inf")).alias("q"), F.lit("").alias("h"))
-    plan = cut(_plus(plan, cuts.withColumnRenamed("cut", "__cut")).withColumn("__cut", F.coalesce("__cut", whole)))
+    plan = cut(_plus(plan, cuts.withColumnRenamed("cut", "__cut")).withColumn("__cut", F.coalesce("__cut", _nowhere(F.lit(float("inf"))))))
     docs = _weighed(join_lookup(mine, plan, "__src"), cap)
-    taken = docs.groupBy("__src").agg(F.sum((F.coalesce("__whole", F.lit(0)) + F.col("__in").cast("int")) * F.col("__words")).alias("__taken"))
+    sure = F.sum((F.coalesce("__whole", F.lit(0)) + F.col("__in").cast("int")) * F.col("__words"))
+    some = F.max(F.when(F.col("__at"), F.col("__cut.some") * F.col("__words")))
+    taken = docs.groupBy("__src").agg((sure + F.coalesce(some, F.lit(0))).alias("__taken"))
     rest = F.greatest(F.lit(0.0), F.col("__rest") - F.coalesce("__taken", F.lit(0)))
     plan = _plus(plan, taken).withColumn("__rest", rest)
     return cut(plan.withColumn(f"__tier{tier}", F.struct("__level", "__cut")).drop("__level", "__cut", "__room", "__taken"))
@@ -177,11 +188,35 @@ def mix_sources(
     docs = join_lookup(_prepared(named, key, size), plan, "__src").withColumn("__tier", _tier())
     docs = docs.withColumn("__own", F.element_at(F.array(*[F.col(f"__tier{t}") for t in tiers]), F.col("__tier") + 1))
     docs = _weighed(docs.withColumn("__level", F.col("__own.__level")).withColumn("__cut", F.col("__own.__cut")), cap)
-    copies = F.coalesce(F.when(F.col("__words") > 0, F.col("__whole") + F.col("__in").cast("int")), F.lit(0)).cast("long")
+    split = F.lit(False)
+    for t in tiers:
+        cut_at = F.col(f"__tier{t}.__cut")
+        split = split | (cut_at["some"] < cut_at["n"])
+    if plan.where(split).isEmpty():
+        docs = docs.withColumn("__more", F.col("__in") | (F.col("__at") & (F.col("__cut.some") > 0)))
+    else:
+        docs = docs.where(~F.col("__at")).withColumn("__more", F.col("__in")).unionByName(_some_of(docs.where("__at")))
+    copies = F.coalesce(F.when(F.col("__words") > 0, F.col("__whole") + F.col("__more").cast("int")), F.lit(0)).cast("long")
     docs = docs.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("__words"))
     return docs.select(*df.columns, "source_size", "target", "copies", "taken")
 
 
+def _some_of(docs: DataFrame) -> DataFrame:
+    """Documents at their source's cut, with ``__more`` true for as many as it takes; they differ in nothing the mix goes by.
+
+    They are numbered by partition and place there, so no task sees more of them than it has read.
+    """
+    docs = cut(docs.withColumn("__no", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__no", 33)))
+    step = ["__src", "__tier"]
+    sums = docs.groupBy(*step, "__part").agg(F.count("*").alias("n"))
+    above = Window.partitionBy(*step).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"{c}_") for c in (*step, "__part")], F.coalesce(F.sum("n").over(above), F.lit(0)).alias("__above"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*step, "__part")]
+    place = F.row_number().over(Window.partitionBy(*step, "__part").orderBy("__no"))
+    numbered = docs.withColumn("__place", place).join(sums, same[0] & same[1] & same[2])
+    return numbered.withColumn("__more", F.col("__above") + F.col("__place") <= F.col("__cut.some")).drop("__no", "__place", "__above", "__part", "__src_", "__tier_", "__part_")
+
+
 def repeat_copies(mixed: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """One row for each copy that the mix takes."""
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
@@ -228,8 +263,8 @@ _TIER = """, tried{t} AS (
 ), ranked{t} AS (
   SELECT *, coalesce(floor(m), 0) AS whole, CASE WHEN m > floor(m) AND size > 0 THEN (u / (1 - u)) / ((m - floor(m)) / (1 - (m - floor(m)))) END AS q FROM copies{t}
 ), done{t} AS (
-  SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q, h)
-    - sum(size) OVER (PARTITION BY source, q, h) / 2.0::DOUBLE <= room AS extra FROM ranked{t}
+  SELECT *, q IS NOT NULL AND row_number() OVER (PARTITION BY source, q, h) <= floor((room - (sum(CASE WHEN q IS NOT NULL THEN size END)
+    OVER (PARTITION BY source ORDER BY q, h) - sum(size) OVER (PARTITION BY source, q, h))) / nullif(size, 0)::DOUBLE + 0.5::DOUBLE) AS extra FROM ranked{t}
 ), rest{n} AS (
   SELECT b.source, greatest(0, budget - coalesce(taken, 0)) AS budget FROM rest{t} b
   LEFT JOIN (SELECT source, sum((whole + extra::INT) * size) AS taken FROM done{t} GROUP BY source) l ON b.source IS NOT DISTINCT FROM l.source
