@@ -85,3 +85,23 @@ def test_empty(spark):
     model = L.fit_languages(df)
     assert L.predict_languages(df, model).count() == 0
     assert L.identify(model, ["abc"]) == [("und", 0.0, True)]
+
+
+def test_counts_do_not_depend_on_chunks(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abΣé  .1İ") for _ in range(rnd.randrange(70))) for _ in range(100)]
+    whole = [L.counts(t) for t in texts]
+    for chunk in (1, 2, 8):
+        monkeypatch.setattr(L, "_CHUNK", chunk)
+        for t, (total, letters) in zip(texts, whole):
+            part, n = L.counts(t)
+            assert n == letters and (part == total).all()
+
+
+def test_repeated_keys_do_not_widen_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 10)
+    rows = [(7, "abc " * (1 + i % 50), "aa") for i in range(500)] + [(8, "fgh", "bb")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_languages(df)
+    assert model.languages == ["aa", "bb"]
+    assert {r.lang_pred for r in L.predict_languages(df, model).where("doc_id = 8").collect()} == {"bb"}

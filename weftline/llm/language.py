@@ -2,13 +2,13 @@
 
 A text is lower-cased, everything but letters becomes a single blank, and its characters, pairs and triples are
 hashed to a normalised TF-IDF vector. Each language has several centroids, found by spherical k-means over a bounded
-sample of labelled documents; the nearest one by cosine names the language. Texts farther from every centroid than
-nearly all sampled documents of like length were from their own are rejected.
+sample of labelled documents; the nearest one by cosine names the language. Texts are rejected that are hardly nearer to
+any centroid than documents of like length are to those of other languages, and farther than nearly all are from their own.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; equal cosines go to the
 language first in code point order; rows with a null label or key teach nothing; without labelled rows every text is
 ``und``; repeated rows are read alike; an empty table gives an empty result; input columns named like an output column
-are replaced. Texts are read whole, a million characters at a time.
+are replaced. Texts are read whole, a million characters at a time. Of rows with one key, language and text one is sampled.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, cut, small_slices, texts_of, with_fields, without
+from .common import bound_batches, cut, small_slices, text_column, texts_of, without
 
 DIMENSIONS = 1 << 12
 #: Labelled documents used for one language, and for all of them together.
 SAMPLE, SAMPLE_ALL = 400, 20_000
 CENTROIDS, ROUNDS = 4, 12
-#: Part of the sampled documents of a length class that may lie below its floor, before MARGIN lowers it.
-QUANTILE, MARGIN = 0.01, 0.45
+#: Languages learned at most, those with the most labelled documents.
+LANGUAGES = 1000
+#: The floor of a length class: the quantile of its sampled documents that MARGIN lowers, and how far ABOVE the others it may lie.
+QUANTILE, MARGIN, ABOVE = 0.01, 0.85, 1.1
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 _CLASSES = 24
@@ -53,19 +55,25 @@ def _letters() -> np.ndarray:
 def counts(text: str) -> tuple[np.ndarray, int]:
     """Hashed counts of the character n-grams, and the number of letters."""
     total, letters = np.zeros(DIMENSIONS, np.int64), 0
+    text = text.lower()
+    tail = np.array([32], np.uint32)  # the last two characters so far
     for at in range(0, len(text), _CHUNK):
-        codes = np.frombuffer(text[at : at + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = _letters()[codes]
         letters += int(is_letter.sum())
         codes = np.where(is_letter, codes, np.uint32(32))
         blank = codes == 32
-        codes = codes[~(blank & np.concatenate(([True], blank[:-1])))]
-        codes = np.concatenate((np.array([32], np.uint32), codes, np.array([32] if len(codes) and codes[-1] != 32 else [], np.uint32)))
-        one = codes * np.uint32(0x9E3779B1)
-        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + codes[1:]
-        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + codes[2:]
-        for hashed in (one, two * np.uint32(0x9E3779B1), three * np.uint32(0x9E3779B1)):
+        codes = codes[~(blank & np.concatenate((tail[-1:] == 32, blank[:-1])))]
+        run = np.concatenate((tail, codes))
+        if at + _CHUNK >= len(text) and len(run) > 1 and run[-1] != 32:
+            run = np.concatenate((run, np.array([32], np.uint32)))
+        one = run * np.uint32(0x9E3779B1)
+        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + run[1:]
+        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + run[2:]
+        old = len(tail) if at else 0
+        for hashed in (one[old:], two[max(old - 1, 0) :] * np.uint32(0x9E3779B1), three[max(old - 2, 0) :] * np.uint32(0x9E3779B1)):
             total += np.bincount(hashed >> np.uint32(20), minlength=DIMENSIONS)
+        tail = run[-2:]
     return total, letters
 
 
@@ -92,24 +100,29 @@ def _cluster(vectors: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
     return found
 
 
-def _sampled(df: DataFrame, key: str, lang: str) -> DataFrame:
-    """(key, lang) of a bounded sample: for each language the keys that hash lowest.
+def _sampled(df: DataFrame, key: str, lang: str, text: str = "text") -> DataFrame:
+    """(__key, __lang, __h) of a bounded sample of different texts: for each language the rows that hash lowest.
 
-    A language is thinned by its share before its keys are ranked, so no task ranks a whole language.
+    A language is thinned by its share before its rows are ranked, so no task ranks a whole language.
     """
-    slim = df.where(F.col(key).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))
-    sizes = cut(slim.groupBy("__lang").agg(F.count("*").alias("n")))
+    slim = df.where(F.col(key).isNotNull() & F.col(lang).isNotNull())
+    slim = slim.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.xxhash64(text).alias("__h"))
+    lot = F.xxhash64("__key", "__h")
+    sizes = slim.groupBy("__lang").agg(F.approx_count_distinct(lot).alias("n")).orderBy(F.desc("n"), "__lang").limit(LANGUAGES)
+    sizes = cut(sizes)
     each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, sizes.count())))
-    place = F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) / float(1 << 30)
-    thin = slim.join(F.broadcast(sizes.limit(SAMPLE_ALL)), "__lang").where(place * F.col("n") < 2 * each + 20).select("__key", "__lang").distinct()
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key"))
-    return thin.withColumn("r", rank).where(F.col("r") <= each).select("__key", "__lang").limit(SAMPLE_ALL)
+    place = F.pmod(lot, F.lit(1 << 30)) / float(1 << 30)
+    thin = slim.join(F.broadcast(sizes), "__lang").where(place * F.col("n") < 2 * each + 20).select("__key", "__lang", "__h").distinct()
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(lot, "__key", "__h"))
+    return thin.withColumn("r", rank).where(F.col("r") <= each).select("__key", "__lang", "__h")
 
 
 def fit_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model of the languages of ``df``, from at most SAMPLE documents of each."""
-    picked = F.broadcast(cut(_sampled(df, key, lang)))
-    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(picked, ["__key", "__lang"], "left_semi")
+    picked = F.broadcast(cut(_sampled(df, key, lang, text)))
+    docs = df.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__h"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
+    docs = docs.join(picked, ["__key", "__lang", "__h"], "left_semi").groupBy("__key", "__lang", "__h").agg(F.first("__text").alias("__text"))
+    bound_batches(df.sparkSession)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, "__text"):
@@ -128,38 +141,53 @@ def fit_languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     total = sample.count()
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(order=[tuple(d) for d in part["dims"]]).sort_values(["letters", "order"])
+    def vectors(part: pd.DataFrame) -> np.ndarray:
         tf = np.zeros((len(part), DIMENSIONS), np.float32)
         for i, (d, n) in enumerate(zip(part["dims"], part["tf"])):
             tf[i, d] = n
-        vectors = _vectors(tf, idf)
-        found = _cluster(vectors)
-        near = (vectors @ found.T).max(1)
-        return pd.DataFrame({
-            "lang": part["lang"].iat[0], "kind": ["centroid"] * len(found) + ["near"], "letters": [[]] * len(found) + [part["letters"].tolist()],
-            "values": [*found.tolist(), near.tolist()],
-        })
-
-    rows = sample.groupBy("lang").applyInPandas(learn, "lang string, kind string, letters array<bigint>, values array<double>").collect()
-    languages = sorted({r.lang for r in rows})
-    centroids = [(languages.index(r.lang), r["values"]) for r in rows if r.kind == "centroid"]
-    centroids.sort(key=lambda x: (x[0], x[1]))
-    near = [(n, v) for r in rows if r.kind == "near" for n, v in zip(r.letters, r["values"])]
-    return LanguageModel(
-        languages, idf, np.array([v for _, v in centroids], np.float32).reshape(-1, DIMENSIONS),
-        np.array([i for i, _ in centroids], int), _floors(near),
-    )
+        return _vectors(tf, idf)
 
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(order=[tuple(d) for d in part["dims"]]).sort_values(["letters", "order"])
+        found = _cluster(vectors(part))
+        return pd.DataFrame({"lang": part["lang"].iat[0], "values": found.tolist()})
 
-def _floors(near: list[tuple[int, float]]) -> np.ndarray:
-    """Least cosine of each length class; a class takes what shorter ones have where it has no sample."""
+    rows = sample.groupBy("lang").applyInPandas(learn, "lang string, values array<double>").collect()  # LANGUAGES * CENTROIDS at most
+    languages = sorted({r.lang for r in rows})
+    found = sorted(((languages.index(r.lang), r["values"]) for r in rows))
+    centroids = np.array([v for _, v in found], np.float32).reshape(-1, DIMENSIONS)
+    owner = np.array([i for i, _ in found], int)
+    sent = df.sparkSession.sparkContext.broadcast((languages, centroids, owner))
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, known, of = sent.value
+        for part in parts:
+            for at in range(0, len(part), 256):
+                some = part.iloc[at : at + 256]
+                near = vectors(some) @ known.T
+                mine = np.array([names.index(x) for x in some["lang"]])[:, None] == of[None, :]
+                yield pd.DataFrame({
+                    "letters": some["letters"], "own": np.where(mine, near, -1).max(1).astype(float), "other": np.where(mine, -1, near).max(1).astype(float)})
+
+    told = sample.mapInPandas(measure, "letters long, own double, other double").collect() if len(found) else []  # SAMPLE_ALL at most
+    return LanguageModel(languages, idf, centroids, owner, _floors([tuple(r) for r in told]))
+
+
+def _floors(told: list[tuple[int, float, float]]) -> np.ndarray:
+    """Least cosine of each length class, from (letters, cosine with the own language, with the nearest other one).
+
+    A language that was not learned is like the others to a sampled one: the floor lies ABOVE their median, but at most at
+    MARGIN times what nearly all texts reach in their own language. A class takes what shorter ones have where it has no sample.
+    """
     floors, last = np.zeros(_CLASSES), 0.0
-    classes = _length_class(np.array([n for n, _ in near], float)) if near else np.zeros(0, int)
-    values = np.array([v for _, v in near])
+    values = np.array(told, float).reshape(-1, 3)
+    classes = _length_class(values[:, 0])
     for c in range(_CLASSES):
-        if (classes == c).sum() >= 5:
-            last = float(np.quantile(values[classes == c], QUANTILE)) * MARGIN
+        own, other = values[classes == c, 1], values[classes == c, 2]
+        if len(own) >= 5:
+            last = float(np.quantile(own, QUANTILE)) * MARGIN
+            if other.max() >= 0:
+                last = min(last, float(np.median(other)) * ABOVE)
         floors[c] = last
     return floors
 
@@ -186,14 +214,13 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -
     df = without(df, "lang_pred", "score", "rejected")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, text):
-            found = identify(sent.value, texts_of(batch, text))
-            yield append(batch, ["lang_pred", "score", "rejected"], [
-                pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_()),
-            ])
+    def told(texts: list[str | None]) -> pa.StructArray:
+        found = identify(sent.value, [t or "" for t in texts])
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "rejected"])
 
-    return df.mapInArrow(run, with_fields(df, "lang_pred string, score double, rejected boolean"))
+    tell = text_column(df.sparkSession, "struct<lang_pred:string,score:double,rejected:boolean>", lambda: told)
+    return df.withColumn("__told", tell(text)).select(*df.columns, "__told.*")
 
 
 def held_out(key: str, folds: int, fold: int):
