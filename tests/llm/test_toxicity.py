@@ -71,3 +71,28 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [r.score for r in T.score_toxicity(one, T.fit_toxicity(one, labels)).collect()] == [0.0]
     assert T.fit_toxicity(one, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is not None
+
+
+def test_pairs_decide_where_single_terms_cannot():
+    rnd = random.Random(4)
+    texts, labels = [], []
+    for _ in range(3000):
+        words = rnd.sample("alfa bravo coda delta eko fox golf hotel india jul".split(), 5)
+        one, other = rnd.random() < 0.5, rnd.random() < 0.5
+        words += ["moron"] * one + ["martians"] * other
+        texts.append(T.terms(" ".join(words)))
+        labels.append(float(one != other))
+    labels = np.array(labels)
+    model = T.train(texts[:2000], labels[:2000])
+    flat = T.ToxicityModel(model.bias, model.weights, np.zeros_like(model.vectors), model.place)
+    right = [np.mean([(T.raw_score(m, t) >= 0) == (y > 0.5) for t, y in zip(texts[2000:], labels[2000:])]) for m in (model, flat)]
+    assert right[0] > 0.97 and right[1] < 0.85
+
+
+def test_rows_of_one_key_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE", 20)
+    df = spark.createDataFrame([(1, f"moron {i % 40}") for i in range(400)] + [(2, "nice")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "_eligible", lambda sample: seen.append(sample.count()) or np.arange(T.BUCKETS))
+    assert T.fit_toxicity(df, labels) is not None and seen == [20]
