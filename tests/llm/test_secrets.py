@@ -110,3 +110,34 @@ def test_tokens_by_their_json_and_keys_within_base64():
         packed = base64.b64encode(pem.encode()).decode()
         assert S.scan(f"client-key-data: {packed} b") == [("pem", 17, 17 + len(packed))]
     assert S.scan(base64.b64encode(b"-----BEGIN CERTIFICATE-----" + b"x" * 99).decode()) == []
+
+
+def test_encrypted_keys_are_whole_blocks_of_a_known_cipher():
+    def pem(info, size, end="\n"):
+        body = base64.b64encode(bytes(range(size))).decode()
+        return end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", info, "", body, "-----END RSA PRIVATE KEY-----"])
+
+    for info, size in (("DEK-Info: AES-256-CBC,0123456789ABCDEF0123456789ABCDEF", 64), ("DEK-Info: DES-EDE3-CBC,0123456789ABCDEF", 72)):
+        assert [k for k, _, _ in S.scan(pem(info, size)) if k == "pem"] == ["pem"]
+    for info, size in (("DEK-Info: AES-256-CBC,0123456789ABCDEF0123456789ABCDEF", 72), ("DEK-Info: ROT-13,00", 64), ("DEK-Info: AES-256-CBC,XY", 64), ("", 64)):
+        assert not [k for k, _, _ in S.scan(pem(info, size)) if k == "pem"]
+    words = base64.b64encode(b"not a key at all, only words").decode()
+    assert S.scan(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{words}\n-----END RSA PRIVATE KEY-----") == []
+
+
+def test_wrapped_base64_of_a_key():
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(PKCS1)}\n-----END RSA PRIVATE KEY-----\n"
+    packed = b64(pem.encode())
+    for end in ("\n", "\r\n", "\n  "):
+        lines = end.join(packed[i : i + 64] for i in range(0, len(packed), 64))
+        assert ("pem", 6, 6 + len(lines)) in S.scan(f"data: {lines}\n")
+
+
+def test_candidates_leave_nothing_out(spark):
+    rnd = random.Random(6)
+    jwt, pem = token({"alg": "HS256"}, {"sub": 1}), f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----"
+    bits = [jwt, pem, b64(pem.encode()), b64(SSH), PKCS1.hex(), PKCS1.hex().upper(), "AKIAABCDEFGH12345", "toKen = abcdefgh", "ſecret: abcdefgh", "0123456789abcdef" * 2,
+            "xy", " ", "é", "\n", "www.example.org", "a" * 31, "-" * 40, "token"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(5)))) for i in range(400)]
+    got = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(s) for s in r.secrets] for r in got} == {i: S.scan(t) for i, t in rows}

@@ -9,7 +9,7 @@ an algorithm.
 Spans are code points, end exclusive; within a kind matches are leftmost and do not overlap, across kinds they may.
 Edge cases: a null text is read as empty and has no spans; repeated rows are scanned alike; an empty table gives an
 empty result; input columns named like an output column are replaced. Every pattern is linear in the text, and a
-worker holds a few megabytes of text, or one text, at a time.
+worker holds a few megabytes of text, or one text, at a time; only texts that can hold a secret go to one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, small_slices, texts_of, with_fields, without
+from .common import text_column, without
 
 #: Kinds in the order in which spans with one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -42,10 +41,16 @@ _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f])"
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{40,}={0,2}")
 #: Looks ahead, so that a part may begin a token though one before it does not.
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=(([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*))")
-#: Base64 long enough to hold a PEM text, its lines of BEGIN and END included.
-_LONG64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{100,}={0,2}")
+#: Base64 that may hold a PEM text, on one line or in lines of 40 characters at least, the last one excepted.
+_LONG64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{40})(?:[A-Za-z0-9+/_-]{40,}\r?\n[ \t]*)*[A-Za-z0-9+/_-]+={0,2}")
 _BLANK = re.compile(r"(?:\r?\n|(?:\\r)?\\n){2}")
 _SSH_MAGIC = b"openssh-key-v1\0"
+#: The ciphers of encrypted PEM keys, by name, and the bytes of a block.
+_CIPHER = re.compile(r"DEK-Info: *(?:(?P<wide>(?:AES|CAMELLIA)-(?:128|192|256)-CBC|SEED-CBC)|(?:DES|DES-EDE3|BF|CAST5|IDEA|RC2)-CBC), *(?:[0-9A-Fa-f]{2})+(?![0-9A-Za-z])")
+#: Patterns of Java that find every text in which ``scan`` can find something: an assignment, and a run of 32 characters of
+#: base64 (of hex too), or of 14 before a dot, as the header of a token has at least.
+_ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14}(?:[A-Za-z0-9+/_-]{18}|[A-Za-z0-9+/_-]*+\.[A-Za-z0-9_-])"
 
 
 def _decoded(text: str) -> bytes | None:
@@ -118,7 +123,10 @@ def is_signed_token(header: str, payload: str) -> bool:
 
 
 def pem_keys(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the private keys in PEM form; what follows the headers of an encrypted one need only be base64."""
+    """(start, end) of the private keys in PEM form.
+
+    What follows the headers of an encrypted one must be whole blocks of the cipher that they name.
+    """
     found = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
@@ -126,9 +134,14 @@ def pem_keys(text: str) -> list[tuple[int, int]]:
             foot = m[0].replace("BEGIN", "END")
             if end >= 0 and text.startswith(foot, end):
                 body = text[m.end() : end]
-                body = _BLANK.split(body)[-1] if "Proc-Type:" in body else body
-                data = _decoded(body)
-                if is_private_key(data) or is_ssh_key(data) or data and body != text[m.end() : end]:
+                if "Proc-Type:" in body:
+                    *head, body = _BLANK.split(body)
+                    cipher, data = _CIPHER.search("".join(head)), _decoded(body)
+                    good = bool(cipher and data) and len(data) % (16 if cipher["wide"] else 8) == 0
+                else:
+                    data = _decoded(body)
+                    good = is_private_key(data) or is_ssh_key(data)
+                if good:
                     found.append((m.start(), end + len(foot)))
     return found
 
@@ -144,7 +157,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     found += [("pem", *span) for span in pem_keys(text)]
     for m in _LONG64.finditer(text):
-        data = _decoded(m[0])
+        data = _decoded(m[0]) if len(m[0]) >= 100 else None
         if data and b"PRIVATE KEY-----" in data and pem_keys(data.decode("latin-1")):
             found.append(("pem", *m.span()))
     found += [("key", *m.span()) for m in _DER64.finditer(text) if is_private_key(_decoded(m[0]))]
@@ -160,17 +173,19 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _candidate(text: str) -> Column:
+    """The text if something may be found in it, else null; told in the JVM, so that other texts go to no worker."""
+    holds = lambda part: F.contains(text, F.lit(part))
+    assigned = (holds(":") | holds("=")) & F.rlike(text, F.lit(_ASSIGNED))
+    return F.when(holds("AKIA") | holds("PRIVATE KEY-----") | assigned | F.rlike(text, F.lit(_RUN)), F.col(text))
+
+
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """``df`` with every secret of ``text`` as an array of (kind, start, end)."""
     df = without(df, out)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, text):
-            spans = [[dict(zip(("kind", "start", "end"), s)) for s in scan(t)] for t in texts_of(batch, text)]
-            yield append(batch, [out], [pa.array(spans, kind)])
-
-    return df.mapInArrow(run, with_fields(df, f"`{out}` array<{SPAN}>"))
+    spans = lambda texts: pa.array([[dict(zip(("kind", "start", "end"), s)) for s in scan(t)] for t in texts], kind)
+    return df.withColumn(out, text_column(df.sparkSession, f"array<{SPAN}>", lambda: spans)(_candidate(text)))
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -187,14 +202,12 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with the secrets in ``text`` replaced; all rows stay, texts without secrets are unchanged."""
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, text):
-            clean = pa.array([redact(t, mark) for t in batch.column(text).to_pylist()], batch.schema.field(text).type)
-            yield batch.set_column(names.index(text), text, clean)
+    def changed(texts: list[str | None]) -> pa.Array:
+        new = [redact(t, mark) for t in texts]
+        return pa.array([n if n != t else None for n, t in zip(new, texts)], pa.string())
 
-    return df.mapInArrow(run, df.schema)
+    clean = text_column(df.sparkSession, "string", lambda: changed)(_candidate(text))
+    return df.withColumn(text, F.coalesce(clean, F.col(text)))
 
 
 def listed(spans: Column) -> Column:
