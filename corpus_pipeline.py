@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.byte_bpe import recode_bpe
-from weftline.llm.common import ensure_checkpoint_dir
+from weftline.llm.common import drop_at_exit, drop_folder, ensure_checkpoint_dir
 from weftline.llm.language import fit_languages, held_out, predict_languages
 from weftline.llm.mixing import mix_sources, repeat_copies, word_count
 from weftline.llm.queries import BPE_VOCAB
@@ -38,13 +38,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by fingerprint or by five-word shingles."""
-    return keep_one_of_each_group(docs, similarity=SIMILARITY).select(*docs.columns)
+    plain, n = _renamed(docs)
+    kept = keep_one_of_each_group(plain, n["doc_id"], n["text"], SIMILARITY)
+    return kept.select(*[F.col(new).alias(old) for old, new in n.items()])
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced and ``n_chars`` counted anew."""
-    length = F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType)
-    return redact_secrets(docs).withColumn("n_chars", F.coalesce(length, F.col("n_chars"))).select(*docs.columns)
+    """All documents, with their secrets replaced and ``n_chars``, where there is such a column, counted anew."""
+    plain, n = _renamed(docs)
+    clean = redact_secrets(plain, n["text"])
+    if "n_chars" in n:
+        length = F.char_length(n["text"]).cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn(n["n_chars"], F.coalesce(length, F.col(n["n_chars"])))
+    return clean.select(*[F.col(new).alias(old) for old, new in n.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,11 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what lies between them is Parquet in the shared folder."""
+    """All stages over the documents of ``sf_dir``; what lies between them is Parquet in the shared folder.
+
+    A stage's rows are removed when the next one's are written, the last ones when the application ends.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    drop_at_exit(spark, folder)
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
