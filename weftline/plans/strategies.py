@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.text import file_name, path_key
 from ..operators.attribution import source_commit
 from ..schemas import PLAN_CHANGE, PLAN_COMMIT, STRATEGIES
@@ -21,6 +22,10 @@ class Plan:
     changes: DataFrame
     deps: DataFrame | None = None
 
+    def materialised(self) -> Plan:
+        """The plan cut from its lineage."""
+        return Plan(cut(self.commits), cut(self.changes), self.deps and cut(self.deps))
+
 
 class Strategy(Protocol):
     def __call__(self, commits: DataFrame, hunks: DataFrame) -> Plan: ...
