@@ -129,15 +129,13 @@ def with_views(*names: str, by: str = "customer") -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def with_lines(hunks: DataFrame, most: int = 5) -> DataFrame:
-    """Hunks with lines: old ones removed, new ones added, ``most`` of each, which the counts then tell."""
-    cut = lambda c: F.least(F.col(c), F.lit(most).cast("long"))
+def with_lines(hunks: DataFrame) -> DataFrame:
+    """Hunks with lines: the old ones removed, the new ones added, as many as the counts tell."""
     made = lambda kind, word, n: F.transform(
-        F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")),
+        F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")),
         lambda i: F.struct(F.lit(kind).alias("type"), F.concat(F.lit(f"{word} "), i.cast("string"), F.lit(" of "), F.col("hunk_id").cast("string")).alias("content")))
-    lines = F.concat(made(REMOVED, "old", cut("old_count")), made(ADDED, "new", cut("new_count")))
+    lines = F.concat(made(REMOVED, "old", "old_count"), made(ADDED, "new", "new_count"))
     return hunks.select(
-        "changeset_id", "hunk_id", "commit_id", "sha", "file_path", "old_start", cut("old_count").alias("old_count"), "new_start",
-        cut("new_count").alias("new_count"), lines.alias("lines"), F.array("sha").alias("likely_source_commits"),
-        F.lit(False).alias("old_missing_newline_at_eof"), (F.col("hunk_id") % 3 == 0).alias("new_missing_newline_at_eof"),
+        "changeset_id", "hunk_id", "commit_id", "sha", "file_path", "old_start", "old_count", "new_start", "new_count", lines.alias("lines"),
+        F.array("sha").alias("likely_source_commits"), F.lit(False).alias("old_missing_newline_at_eof"), (F.col("hunk_id") % 3 == 0).alias("new_missing_newline_at_eof"),
     )
