@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.functions.rubric import CRITERIA
 from weftline.operators import assignment
-from weftline.operators.ranges import CommitRange, adjust_positions, context_commits, overlapping_hunks
+from weftline.operators.ranges import CommitRange, adjust_positions, context_commits, overlapping_hunks, range_of, single_or_range
 from weftline.plans import assessment, hierarchical, loop, repair, responses, strategies, validation
 from weftline.schemas import ANALYSIS, PLAN_CHANGE, PLAN_COMMIT, PLAN_DEP
 from weftline.sinks import plan_files, reports
@@ -180,9 +180,12 @@ def test_clusters(spark):
     c = lambda t, cats, hs: {"topic": t, "categories": cats, "hunk_ids": hs, "reason": ""}
     merged = hierarchical.merge_small([c("a", ["test"], [1]), c("b", ["bugfix", "test"], [2, 3, 4]), c("z", ["other"], [5])])
     assert [(x["topic"], x["hunk_ids"], x["categories"]) for x in merged] == [("b", [2, 3, 4, 1], ["bugfix", "test"]), ("z", [5], ["other"])]
-    moved = hierarchical.relate([c("a", ["test"], [1, 2]), c("b", ["bugfix"], [3, 4])], [([2, 3], "why")], {2: "test", 3: "bugfix"})
+    rows_of = lambda *cs: spark.createDataFrame([{**x, "changeset_id": 1, "cluster_id": i} for i, x in enumerate(cs)], hierarchical.CLUSTER)
+    groups = spark.createDataFrame([(1, 0, [2, 3], "why")], "changeset_id long, group_pos long, hunk_ids array<long>, reason string")
+    kinds = spark.createDataFrame([(1, 2, "test"), (1, 3, "bugfix")], "changeset_id long, hunk_id long, category string")
+    moved = hierarchical.relate(rows_of(c("a", ["test"], [1, 2]), c("b", ["bugfix"], [3, 4])), groups, kinds, 0).orderBy("cluster_id").collect()
     assert [x["hunk_ids"] for x in moved] == [[1, 2, 3], [4]] and moved[0]["categories"] == ["bugfix", "test"]
-    joined = hierarchical.merge_tests([c("a", ["bugfix"], [1]), c("a", ["test"], [2])])
+    joined = hierarchical.merge_tests(rows_of(c("a", ["bugfix"], [1]), c("a", ["test"], [2]))).collect()
     assert [x["hunk_ids"] for x in joined] == [[1, 2]]
     rows = [(1, i, "test" if i % 2 else "feature", ["u"], f"t{i % 3}", None, f"f{i % 4}") for i in range(30)]
     analyses = spark.createDataFrame(rows, ANALYSIS)
@@ -255,3 +258,42 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, DIFF)], "changeset_id long, diff_text string").write.parquet(f"{tmp_path}/in")
     plan_arrivals(diff_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
     assert {r.short for r in spark.read.parquet(f"{tmp_path}/out/commits").collect()} == {"Update a.rs", "Update new.rs"}
+
+
+def test_a_new_commit_inherits_no_dependencies(spark):
+    """Commit 3 loses its only hunk, and the one that takes hunk 2 gets its id."""
+    plan = _plan(spark, [(2, "First", [0, 1]), (3, "Second", [0])], [(3, 99), (2, 98)])
+    hunks = spark.createDataFrame([(1, h, "f", 10 * h, 1, 1) for h in range(3)], "changeset_id long, hunk_id long, file_path string, old_start long, old_count long, new_count long")
+    fixed = repair.deterministic_fixes(plan, hunks)
+    assert sorted((r.commit_id, r.short) for r in fixed.commits.collect()) == [(2, "First"), (3, "Additional changes")]
+    assert [(r.commit_id, r.depends_on) for r in fixed.deps.collect()] == [(2, 98)]
+    left, issues = loop.settle(plan, hunks)
+    assert [(r.issue_type, r.commit_id) for r in issues.collect()] == [("InvalidDependency", 2)]
+
+
+def test_what_a_range_asks_for(spark):
+    rows = [(1, i, f"s{i}", ["main", "topic"] if i < 3 else ["topic"]) for i in range(6)] + [(2, i, f"s{i}", ["master"] if i < 1 else ["x"]) for i in range(3)]
+    commits = spark.createDataFrame(rows + [(3, 0, "s0", ["x"])], "changeset_id long, position int, sha string, branches array<string>")
+    asked = lambda *a, **k: sorted((r.changeset_id, r.position) for r in range_of(commits, *a, **k).collect())
+    assert asked("s1..s4") == [(1, 2), (1, 3), (1, 4)]
+    assert asked("s1") == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 2)] == asked(base="s1")
+    assert asked() == [(1, 3), (1, 4), (1, 5), (2, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        range_of(commits, "a..b", "c")
+    one = lambda text: sorted((r.changeset_id, r.position) for r in single_or_range(commits, text).collect())
+    assert one("s2") == [(1, 2), (2, 2)] and one("s0") == [(1, 0), (2, 0), (3, 0)] and one("HEAD") == [(1, 5), (2, 2), (3, 0)] and one("s3..s5") == [(1, 4), (1, 5)]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("# a\n  b \n#c", "x\n /tmp/a.json \n/tmp/b.json"), ("#", "rel.json")], "t string, p string")
+    assert [tuple(r) for r in df.select(X.strip_comments("t"), X.response_path("p")).collect()] == [("b", "/tmp/a.json"), ("", None)]
+    commits = spark.createDataFrame([(1, i, i) for i in range(3)] + [(2, 0, 0)], "changeset_id long, commit_id long, commit_pos int")
+    made = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "changeset_id long, commit_pos int")
+    assert sorted(map(tuple, assignment.progress_of(made, commits).collect())) == [(1, 2, False), (2, 1, True)]
+
+
+def test_zip_by_position(spark):
+    left = spark.createDataFrame([(1, i, f"a{i}") for i in range(3)], "changeset_id long, position int, a string")
+    right = spark.createDataFrame([(1, i, f"b{i}") for i in range(2)], "changeset_id long, position int, b string")
+    found = assignment.zip_positions(left, right)
+    assert sorted((r.a, r.b) for r in found.collect()) == [("a0", "b0"), ("a1", "b1")]
