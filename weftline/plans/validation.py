@@ -18,6 +18,8 @@ ISSUE = {
 }
 #: Issue types that the deterministic fixes can mend.
 FIXABLE = ("UnassignedHunks", "DuplicateHunkAcrossCommits")
+#: Issue types that can be mended at all.
+MODEL_FIXABLE = (*FIXABLE, "DuplicateHunkInCommit", "OverlappingHunks", "FailedAssessment")
 
 
 def _issues(df: DataFrame, kind: str) -> DataFrame:
@@ -167,6 +169,25 @@ def fixable(issues: DataFrame) -> DataFrame:
     return issues.where(F.col("issue_type").isin(*FIXABLE))
 
 
+def model_fixable(issues: DataFrame) -> DataFrame:
+    """Issues that a model can be asked to mend."""
+    return issues.where(F.col("issue_type").isin(*MODEL_FIXABLE))
+
+
+def issues_of(issues: DataFrame, kind: str) -> DataFrame:
+    """The issues of one type, with the columns that tell something of it."""
+    columns = {
+        "UnassignedHunks": ["hunk_ids"], "DuplicateHunkAcrossCommits": ["hunk_id", "commit_ids"], "FailedAssessment": ["commit_id"],
+        "OverlappingHunks": ["file_path", "hunk_id", "commit_id", "hunk_b", "commit_b"],
+    }
+    return issues.where(F.col("issue_type") == kind).select("changeset_id", *columns.get(kind, [c for c in ISSUE if c not in ("changeset_id", "issue_type")]))
+
+
+def failed_assessments(overall: DataFrame, least: float) -> DataFrame:
+    """Commits (changeset_id, commit_id, overall) that score below ``least``."""
+    return _issues(overall.where(F.col("overall") < least), "FailedAssessment")
+
+
 def describe(issue: str = "issue_type") -> Column:
     """An issue as a sentence."""
     c = lambda name: F.col(name).cast("string")

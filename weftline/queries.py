@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import view, with_lines, with_views
 from .functions import text as X
 from .operators import assignment, attribution, ranges
-from .plans import assessment, hierarchical, loop, repair, responses, strategies, validation
+from .plans import assessment, hierarchical, loop, prompts, repair, responses, strategies, validation
 from .sinks import plan_files, reports
 from .sinks.patches import FLAGS, hunk_body, hunk_struct, mode_patches, whole_file_hunk, write_patches
 from .sources.diff import parse_diff, raw_fragment
@@ -657,6 +657,41 @@ def model_context(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("changeset_id", "hunk_id", "file_path", "diff", _listed("likely_source_commits").alias("sources"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FENCED = "'```diff' || chr(10) || {} || chr(10) || '```' || chr(10)"
+_DIFF = "array_to_string(['-old ' || x || ' of ' || hunk_id for x in range(1, oc + 1)] || ['+new ' || x || ' of ' || hunk_id for x in range(1, nc + 1)], chr(10))"
+
+
+@_query(with_views("hunks") + _TEXT + " SELECT changeset_id, sha, string_agg(body, chr(10) ORDER BY hunk_id) AS diff FROM bodies GROUP BY ALL")
+def diff_contents(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.diff_contents(with_lines(view(spark, sf, "hunks")))
+
+
+@_query(with_views("hunks", "commits") + _TEXT + f""" SELECT s.changeset_id, hunk_id, file_path, {_quoted(prompts.ANALYSIS_ASK)} || file_path || ', lines ' || old_start || ' to ' || old_start + oc || chr(10)
+  || 'Source commit: ' || long || chr(10) || {_FENCED.format(_DIFF)} AS prompt FROM sized s JOIN commits c ON c.changeset_id = s.changeset_id AND c.sha = s.sha""")
+def analysis_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.analysis_prompts(with_lines(view(spark, sf, "hunks")), view(spark, sf, "commits"))
+
+
+@_query(with_views("hunks", "commits") + _TEXT + f""", diffs AS (SELECT changeset_id, sha, string_agg(body, chr(10) ORDER BY hunk_id) AS diff FROM bodies GROUP BY ALL),
+cuts AS (SELECT *, CASE WHEN strlen(diff) <= 3000 THEN diff ELSE left(left(diff, 3000), 3000 - strpos(reverse(left(diff, 3000)), chr(10))) END AS shown FROM diffs),
+sized_ AS (SELECT c.*, count(*) OVER (PARTITION BY changeset_id) AS n, first_value(sha) OVER w AS first, last_value(sha) OVER w AS last FROM commits c
+  WINDOW w AS (PARTITION BY changeset_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+sides AS (SELECT *, CASE WHEN n - 1 <= 10 THEN position WHEN position < 5 THEN position WHEN n - 1 - position < 5 THEN 10 - (n - 1 - position) ELSE 5 END AS tb,
+  CASE WHEN n - 1 <= 10 THEN n - 1 - position WHEN position < 5 THEN 10 - position WHEN n - 1 - position < 5 THEN n - 1 - position ELSE 5 END AS ta FROM sized_),
+near AS (SELECT s.changeset_id, s.position, count(*) AS k, string_agg((o.position + 1) || '/' || s.n || ' ' || left(o.sha, 8) || ' ' || o.short || chr(10), '' ORDER BY o.position) AS near
+  FROM sides s JOIN commits o ON o.changeset_id = s.changeset_id AND o.position BETWEEN s.position - tb AND s.position + ta AND o.position <> s.position GROUP BY ALL)
+SELECT s.changeset_id, s.sha, {_quoted(prompts.assessment_ask())} || 'Commit ' || left(s.sha, 8) || ', ' || (s.position + 1) || ' of ' || n || chr(10) || long || chr(10) || chr(10)
+  || {_FENCED.format("coalesce(shown, '')")} || chr(10) || CASE WHEN n > 1 THEN 'Other commits of the range' || chr(10) || near
+  || CASE WHEN n - 1 > k THEN 'and ' || (n - 1 - k) || ' more from ' || left(first, 8) || ' to ' || left(last, 8) || chr(10) ELSE '' END || chr(10) ELSE '' END AS prompt
+FROM sides s LEFT JOIN near r ON r.changeset_id = s.changeset_id AND r.position = s.position LEFT JOIN cuts d ON d.changeset_id = s.changeset_id AND d.sha = s.sha""")
+def assessment_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.assessment_prompts(view(spark, sf, "commits"), prompts.diff_contents(with_lines(view(spark, sf, "hunks"))))
+
+
 @_query(with_views("commits") + """ SELECT changeset_id, position, CASE WHEN position % 3 < 2 THEN 'New ' || position END AS new_short FROM commits""")
 def reworded_commits(spark: SparkSession, sf: str) -> DataFrame:
     commits = view(spark, sf, "commits")

@@ -1,10 +1,12 @@
-"""Plans stored as JSON, one object for each change set, and read back to go on with."""
+"""Plans and assessments stored as JSON, one object for each change set, and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rubric import place
+from ..plans.assessment import commit_scores, range_scores
 from ..plans.strategies import Plan
 from ..schemas import STRATEGIES
 
@@ -56,6 +58,50 @@ def load_plans(spark: SparkSession, path: str) -> tuple[Plan, DataFrame]:
     return read_plans(spark.read.text(path).withColumnRenamed("value", "stored"))
 
 
+#: An assessment as it is stored: one object for each change set.
+ASSESSMENT = (
+    "changeset_id long, base_sha string, head_sha string, assessed_at string, overall double, "
+    "scores array<struct<sha:string,position:int,criterion:string,level:int,rationale:string,evidence:array<string>,suggestions:array<string>>>"
+)
+
+
+def stored_assessments(scores: DataFrame, commits: DataFrame, ends: DataFrame, assessed_at: str) -> DataFrame:
+    """(changeset_id, stored): the JSON of each change set's assessment.
+
+    ``scores`` as ``parse_responses`` gives them; ``commits``: changeset_id, sha, position; ``ends``: changeset_id, base_sha, head_sha.
+    """
+    overall = range_scores(commit_scores(scores), ends.select("changeset_id"))
+    rows = scores.join(commits.select("changeset_id", "sha", "position"), ["changeset_id", "sha"]).withColumn("p", place("criterion"))
+    one = F.struct("position", "p", "sha", "criterion", "level", "rationale", "evidence", "suggestions")
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["sha"], x["position"], x["criterion"], x["level"], x["rationale"], x["evidence"], x["suggestions"]))
+    whole = ends.join(overall, "changeset_id").join(rows.groupBy("changeset_id").agg(listed.alias("scores")), "changeset_id", "left")
+    whole = whole.select("changeset_id", "base_sha", "head_sha", F.lit(assessed_at).alias("assessed_at"), "overall", F.coalesce("scores", F.array()).alias("scores"))
+    return whole.select("changeset_id", F.to_json(F.struct(*whole.columns)).alias("stored"))
+
+
+def save_assessments(stored: DataFrame, path: str) -> None:
+    stored.select("stored").write.mode("overwrite").text(path)
+
+
+def read_assessments(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranges, scores) of (stored): changeset_id, ends, time and overall score; and the scores with their commits' places."""
+    rows = stored.select(F.from_json("stored", ASSESSMENT).alias("a")).select("a.*")
+    return rows.drop("scores"), rows.select("changeset_id", F.explode("scores").alias("s")).select("changeset_id", "s.*")
+
+
+def load_assessments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_assessments(spark.read.text(path).withColumnRenamed("value", "stored"))
+
+
+def delete_stored(spark: SparkSession, path: str) -> bool:
+    """Whether there was something at ``path``, which is then gone."""
+    place_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place_, True)
+
+
 def list_stored(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of the JSON files in a folder, by path."""
+    """(path, length) of the JSON files in a folder, by path; none if there is no such folder."""
+    place_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place_):
+        return spark.createDataFrame([], "path string, length long")
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", "length").orderBy("path")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rubric import TITLES, place
+from ..functions.rubric import CRITERIA, LEVEL_TEXTS, LEVELS, TITLES, place
 from ..functions.text import short_sha
 from ..plans.assessment import changed_notes, commit_scores, compact_report, compare_ranges, criterion_stats, range_scores
 
 FORMATS = ("pretty", "json", "markdown", "compact")
+#: Width of a rubric box's cell, and the escape codes of a level that is reached and of a title.
+BOX_WIDTH, HIT, BOLD = 24, "\x1b[42;30m{}\x1b[0m", "\x1b[1m{}\x1b[0m"
+#: Headings and table heads of the reports.
+SUMMARY_HEAD = "| Criterion | Mean | Min | Max | Std Dev |\n|-----------|------|-----|-----|--------|\n"
+LEVEL_HEAD = "| Criterion | Level |\n|-----------|-------|\n"
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -49,15 +54,15 @@ def range_report(scores: DataFrame, commits: DataFrame, ends: DataFrame, fmt: st
     span = F.concat(short_sha("base_sha"), F.lit(".."), short_sha("head_sha"))
     share = F.format_string("%.1f%%", F.col("overall") * 100)
     if fmt == "markdown":
-        top = F.concat(F.lit("# Commit Assessment Report\n\n**Range**: `"), span, F.lit("`\n**Overall Score**: "), share, F.lit("\n\n## Summary\n\n| Criterion | Mean | Min | Max | Std Dev |\n|-----------|------|-----|-----|--------|\n"))
+        top = F.concat(F.lit("# Commit Assessment Report\n\n**Range**: `"), span, F.lit("`\n**Overall Score**: "), share, F.lit("\n\n## Summary\n\n" + SUMMARY_HEAD))
         line = F.format_string("| %s | %.1f | %d | %d | %.2f |\n", "title", "mean", "least", "most", "sigma")
         level = F.format_string("| %s | %d |\n", "criterion", "level")
-        opening = F.concat(F.lit("### `"), short_sha("sha"), F.lit("` "), F.col("short"), F.lit("\n\n**Score**: "), share, F.lit("\n\n| Criterion | Level |\n|-----------|-------|\n"))
+        opening = F.concat(F.lit("### `"), short_sha("sha"), F.lit("` "), F.col("short"), F.lit("\n\n**Score**: "), share, F.lit("\n\n" + LEVEL_HEAD))
         middle, extra = "\n## Commits\n\n", F.format_string("**%s**: %s\n\n", "criterion", "rationale")
     else:
         top = F.concat(F.lit("Assessment: "), span, F.lit("\nOverall Score: "), share, F.lit("\n\nAggregate Scores:\n"))
         line = F.format_string("  %s: %.1f (min: %d, max: %d, std: %.2f)\n", "title", "mean", "least", "most", "sigma")
-        level = F.format_string("  %s %s%s\n", _lookup(TITLES, F.col("criterion")), F.expr("repeat('#', level)"), F.expr("repeat('.', 5 - level)"))
+        level = F.concat(_boxes(), F.lit("\n"))
         opening = F.concat(F.lit("\n"), short_sha("sha"), F.lit(" "), F.col("short"), F.lit(" ("), share, F.lit(")\n\n"))
         middle, extra = "\nCommits:\n", F.format_string("    %s\n", "rationale")
     lines = _joined(stats, ["changeset_id"], ["title"], line, "lines")
@@ -112,3 +117,21 @@ def wrap_words(text: str, width: int) -> list[str]:
             lines.append(word)
     return lines if len(lines) == 1 or lines[-1] else lines[:-1]
 
+
+def rubric_box(criterion: str, level: int) -> str:
+    """The levels of a criterion side by side, the one reached in colour."""
+    cells = [[str(n), *wrap_words(text, BOX_WIDTH - 2)] for n, text in zip(LEVELS, LEVEL_TEXTS[criterion])]
+    height = max(map(len, cells))
+    rule = lambda left, middle, right: left + middle.join(["─" * BOX_WIDTH] * len(cells)) + right + "\n"
+
+    def row(k: int) -> str:
+        texts = [(c[k] if k < len(c) else "").center(BOX_WIDTH) for c in cells]
+        return "│" + "│".join(HIT.format(t) if n == level else t for n, t in zip(LEVELS, texts)) + "│\n"
+
+    head = BOLD.format(TITLES[criterion]) + f" (Level {level})\n"
+    return head + rule("┌", "┬", "┐") + row(0) + rule("├", "┼", "┤") + "".join(row(k) for k in range(1, height)) + rule("└", "┴", "┘")
+
+
+def _boxes() -> Column:
+    """The box of (criterion, level): one of 25 constant texts."""
+    return F.create_map(*[F.lit(x) for c in CRITERIA for n in LEVELS for x in (f"{c}:{n}", rubric_box(c, n))])[F.concat_ws(":", "criterion", F.col("level").cast("string"))]
