@@ -14,6 +14,11 @@ from ..schemas import SCORES_RESPONSE
 THRESHOLD = 0.1
 
 
+def percent(share: str) -> Column:
+    """A share in percent, without the last digits, which depend on the order in which it was summed."""
+    return F.round(F.col(share) * 100, 9)
+
+
 def weighted(scores: DataFrame) -> DataFrame:
     return scores.withColumn("weighted_score", F.col("level") * weight("criterion", "level"))
 
@@ -116,9 +121,9 @@ def compact_report(scores: DataFrame, commits: DataFrame) -> DataFrame:
     """(changeset_id, report): the range's share and a line for each commit in order (position, sha, short)."""
     own = scores.groupBy("changeset_id", "sha").agg(F.collect_list(F.struct("criterion", "level")).alias("levels"))
     rows = commit_scores(scores).join(own, ["changeset_id", "sha"]).join(commits.select("changeset_id", "sha", "position", "short"), ["changeset_id", "sha"])
-    line = F.format_string("%s %.0f%% [%s] %s\n", short_sha("sha"), F.col("overall") * 100, compact("levels"), F.col("short"))
+    line = F.format_string("%s %.0f%% [%s] %s\n", short_sha("sha"), percent("overall"), compact("levels"), F.col("short"))
     whole = rows.groupBy("changeset_id").agg(F.avg("overall").alias("overall"), F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
-    return whole.select("changeset_id", F.concat(F.format_string("Overall: %.1f%%\n", F.col("overall") * 100), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("report"))
+    return whole.select("changeset_id", F.concat(F.format_string("Overall: %.1f%%\n", percent("overall")), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("report"))
 
 
 def files_of_commits(plan_commits: DataFrame, touched: DataFrame) -> DataFrame:

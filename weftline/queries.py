@@ -415,12 +415,41 @@ def context_commits(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.context_commits(turns, 4).withColumn("context_position", F.col("context_position").cast("long"))
 
 
-@_query(None)
+def _rounded(x: str, digits: int) -> str:
+    """Half away from zero, as the JVM writes numbers."""
+    return f"printf('%.{digits}f', round(CAST(round({x}, 9) AS DECIMAL(38, 14)), {digits})::DOUBLE)"
+
+
+_TOLD = _OVERALL + ", whole AS (SELECT changeset_id, avg(overall) AS overall FROM overall GROUP BY ALL)"
+_PLACE = "list_position(['atomicity', 'message_quality', 'logical_cohesion', 'scope_appropriateness', 'reversibility'], criterion)"
+
+
+@_query(with_views("scores") + _TOLD + f""", levels AS (SELECT changeset_id, sha, string_agg(left(criterion, 3) || ':' || level, ' ' ORDER BY {_PLACE}) AS levels FROM scores GROUP BY ALL)
+SELECT w.changeset_id, 'Overall: ' || {_rounded('any_value(w.overall) * 100', 1)} || '%' || chr(10)
+  || string_agg(left(o.sha, 8) || ' ' || {_rounded('o.overall * 100', 0)} || '% [' || levels || '] ' || o.sha || chr(10), '' ORDER BY o.sha) AS report
+FROM whole w JOIN overall o ON w.changeset_id = o.changeset_id JOIN levels l ON l.changeset_id = o.changeset_id AND l.sha = o.sha GROUP BY w.changeset_id""")
 def compact_reports(spark: SparkSession, sf: str) -> DataFrame:
     scores = view(spark, sf, "scores")
     return assessment.compact_report(scores, assessment.numbered(scores).withColumn("short", F.col("sha")))
 
 
+_TITLE = "CASE criterion WHEN 'atomicity' THEN 'Atomicity' WHEN 'message_quality' THEN 'Message Quality' WHEN 'logical_cohesion' THEN 'Logical Cohesion' WHEN 'scope_appropriateness' THEN 'Scope Appropriateness' ELSE 'Reversibility' END"
+
+
+@_query(with_views("scores") + _TOLD + f""", stats AS (SELECT changeset_id, {_TITLE} AS title, avg(level) AS m, min(level) AS lo, max(level) AS hi, stddev_pop(level) AS s FROM scores GROUP BY ALL),
+summed AS (SELECT changeset_id, string_agg('| ' || title || ' | ' || {_rounded('m', 1)} || ' | ' || lo || ' | ' || hi || ' | ' || {_rounded('s', 2)} || ' |' || chr(10), '' ORDER BY title) AS lines FROM stats GROUP BY ALL),
+levels AS (SELECT changeset_id, sha, string_agg('| ' || criterion || ' | ' || level || ' |' || chr(10), '' ORDER BY {_PLACE}) AS lines FROM scores GROUP BY ALL),
+blocks AS (SELECT o.changeset_id, min(o.sha) AS base, max(o.sha) AS head, string_agg('### `' || left(o.sha, 8) || '` ' || o.sha || chr(10) || chr(10) || '**Score**: ' || {_rounded('o.overall * 100', 1)} || '%' || chr(10) || chr(10)
+  || '| Criterion | Level |' || chr(10) || '|-----------|-------|' || chr(10) || l.lines || chr(10), '' ORDER BY o.sha) AS text FROM overall o JOIN levels l ON l.changeset_id = o.changeset_id AND l.sha = o.sha GROUP BY o.changeset_id)
+SELECT w.changeset_id, '# Commit Assessment Report' || chr(10) || chr(10) || '**Range**: `' || left(base, 8) || '..' || left(head, 8) || '`' || chr(10) || '**Overall Score**: ' || {_rounded('w.overall * 100', 1)} || '%' || chr(10) || chr(10)
+  || '## Summary' || chr(10) || chr(10) || '| Criterion | Mean | Min | Max | Std Dev |' || chr(10) || '|-----------|------|-----|-----|--------|' || chr(10) || lines || chr(10) || '## Commits' || chr(10) || chr(10) || text AS report
+FROM whole w JOIN summed s ON s.changeset_id = w.changeset_id JOIN blocks b ON b.changeset_id = w.changeset_id""")
+def markdown_reports(spark: SparkSession, sf: str) -> DataFrame:
+    scores = view(spark, sf, "scores")
+    ends = scores.groupBy("changeset_id").agg(F.min("sha").alias("base_sha"), F.max("sha").alias("head_sha"))
+    return reports.range_report(scores, assessment.numbered(scores).withColumn("short", F.col("sha")), ends, "markdown")
+
+
 @_query(with_views("scores") + """ SELECT changeset_id, sha, CASE WHEN count(*) = 5 THEN 'scored' ELSE 'missing' END AS outcome FROM scores GROUP BY ALL""")
 def scored_responses(spark: SparkSession, sf: str) -> DataFrame:
     items = F.collect_list(F.struct("criterion", "level", F.lit("why").alias("rationale")))
@@ -731,7 +760,20 @@ def report_formats(spark: SparkSession, sf: str) -> DataFrame:
     return made[0].union(made[1]).union(made[2])
 
 
-@_query(None)
+def _side(name: str, where: str) -> str:
+    return f""", {name}_o AS (SELECT changeset_id, sum(level * {_W}) / sum(5 * {_W}) AS o FROM scores WHERE {where} GROUP BY changeset_id, sha),
+{name}_w AS (SELECT changeset_id, avg(o) AS o FROM {name}_o GROUP BY ALL), {name}_c AS (SELECT changeset_id, criterion, avg(level) AS m FROM scores WHERE {where} GROUP BY ALL)"""
+
+
+@_query(with_views("scores") + _side("b", "day < DATE '2024-01-16'") + _side("a", "day >= DATE '2024-01-16'") + f""",
+deltas AS (SELECT a.changeset_id, a.criterion, round(a.m - b.m, 6) AS d FROM a_c a JOIN b_c b ON a.changeset_id = b.changeset_id AND a.criterion = b.criterion),
+notes AS (SELECT changeset_id, string_agg('- ' || criterion || ': +' || {_rounded('d', 2)} || chr(10), '' ORDER BY {_PLACE}) FILTER (d > 0.1::DOUBLE) AS up,
+  string_agg('- ' || criterion || ': -' || {_rounded('-d', 2)} || chr(10), '' ORDER BY {_PLACE}) FILTER (d < -0.1::DOUBLE) AS down FROM deltas GROUP BY ALL),
+both_ AS (SELECT b.changeset_id, b.o AS b, a.o AS a, round(a.o - b.o, 6) AS d FROM b_w b JOIN a_w a ON a.changeset_id = b.changeset_id)
+SELECT x.changeset_id, '# Assessment Comparison' || chr(10) || chr(10) || '**Before**: ' || {_rounded('b * 100', 1)} || '%' || chr(10) || '**After**: ' || {_rounded('a * 100', 1)} || '%' || chr(10)
+  || '**Change**: ' || CASE WHEN d > 0 THEN '+' WHEN d < 0 THEN '-' ELSE '' END || {_rounded('abs(d) * 100', 1)} || '%' || chr(10) || chr(10)
+  || coalesce('## Improvements' || chr(10) || chr(10) || up || chr(10), '') || coalesce('## Regressions' || chr(10) || chr(10) || down, '') AS report
+FROM both_ x LEFT JOIN notes n ON n.changeset_id = x.changeset_id""")
 def comparison_reports(spark: SparkSession, sf: str) -> DataFrame:
     scores = view(spark, sf, "scores")
     return reports.comparison_report(scores.where("day < DATE '2024-01-16'"), scores.where("day >= DATE '2024-01-16'"), "markdown")

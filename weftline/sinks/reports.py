@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rubric import CRITERIA, LEVEL_TEXTS, LEVELS, TITLES, place
 from ..functions.text import short_sha
-from ..plans.assessment import changed_notes, commit_scores, compact_report, compare_ranges, criterion_stats, range_scores
+from ..plans.assessment import changed_notes, commit_scores, compact_report, compare_ranges, criterion_stats, percent, range_scores
 
 FORMATS = ("pretty", "json", "markdown", "compact")
 #: Width of a rubric box's cell, and the escape codes of a level that is reached and of a title.
@@ -52,7 +52,7 @@ def range_report(scores: DataFrame, commits: DataFrame, ends: DataFrame, fmt: st
         whole = head.join(sums, "changeset_id").join(each, "changeset_id")
         return whole.select("changeset_id", F.to_json(F.struct("base_sha", "head_sha", "overall", "criteria", "commits"), {"pretty": "true"}).alias("report"))
     span = F.concat(short_sha("base_sha"), F.lit(".."), short_sha("head_sha"))
-    share = F.format_string("%.1f%%", F.col("overall") * 100)
+    share = F.format_string("%.1f%%", percent("overall"))
     if fmt == "markdown":
         top = F.concat(F.lit("# Commit Assessment Report\n\n**Range**: `"), span, F.lit("`\n**Overall Score**: "), share, F.lit("\n\n## Summary\n\n" + SUMMARY_HEAD))
         line = F.format_string("| %s | %.1f | %d | %d | %.2f |\n", "title", "mean", "least", "most", "sigma")
@@ -85,20 +85,20 @@ def comparison_report(before: DataFrame, after: DataFrame, fmt: str = "pretty")
     rows = rows.withColumn("improvements", F.coalesce("improvements", empty)).withColumn("regressions", F.coalesce("regressions", empty))
     if fmt == "json":
         return rows.select("changeset_id", F.to_json(F.struct(F.col("b").alias("before"), F.col("a").alias("after"), "delta", "improvements", "regressions"), {"pretty": "true"}).alias("report"))
-    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
-    change = F.concat(F.when(F.col("delta") > 0, "+").otherwise(""), percent("delta"))
+    written = lambda c: F.format_string("%.1f%%", percent(c))
+    change = F.concat(F.when(F.col("delta") > 0, "+").otherwise(""), written("delta"))
     if fmt == "compact":
-        return rows.select("changeset_id", F.concat(percent("b"), F.lit(" -> "), percent("a"), F.lit(" ("), change, F.lit(")")).alias("report"))
+        return rows.select("changeset_id", F.concat(written("b"), F.lit(" -> "), written("a"), F.lit(" ("), change, F.lit(")")).alias("report"))
 
     def section(title: str, column: str, mark: str, end: str) -> Column:
         listed = F.array_join(F.transform(column, lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), "")
         return F.when(F.size(column) > 0, F.concat(F.lit(title), listed, F.lit(end))).otherwise("")
 
     if fmt == "markdown":
-        top = F.concat(F.lit("# Assessment Comparison\n\n**Before**: "), percent("b"), F.lit("\n**After**: "), percent("a"), F.lit("\n**Change**: "), change, F.lit("\n\n"))
+        top = F.concat(F.lit("# Assessment Comparison\n\n**Before**: "), written("b"), F.lit("\n**After**: "), written("a"), F.lit("\n**Change**: "), change, F.lit("\n\n"))
         parts = section("## Improvements\n\n", "improvements", "- ", "\n"), section("## Regressions\n\n", "regressions", "- ", "")
     else:
-        top = F.concat(F.lit("Assessment Comparison\n\nBefore: "), percent("b"), F.lit(" -> After: "), percent("a"), F.lit(" ("), change, F.lit(")\n\n"))
+        top = F.concat(F.lit("Assessment Comparison\n\nBefore: "), written("b"), F.lit(" -> After: "), written("a"), F.lit(" ("), change, F.lit(")\n\n"))
         parts = section("Improvements:\n", "improvements", "  + ", "\n"), section("Regressions:\n", "regressions", "  - ", "\n")
     return rows.select("changeset_id", F.concat(top, *parts).alias("report"))
 
