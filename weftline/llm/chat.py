@@ -7,7 +7,8 @@ the text, and no control string is left inside. Turns after the last reply (all
 no example; they are kept in a context example, which has no target and an empty mask.
 
 The expansion is a lazy generator over a conversation's ordered turns: one example is built at a time. A conversation
-is one row by nature (each example holds all that precedes it), whole conversations are never gathered together.
+is one row by nature (each example holds all that precedes it), whole conversations are never gathered together. One
+whose turns, or whose longest example, pass the 2 GB that Spark allows a value fails with Spark's error; nothing is cut.
 
 Edge cases: null texts and roles are read as empty; a null id is a conversation of its own; turns are ordered by turn
 (null first), role and text, and repeated rows stay repeated; an empty reply has an empty mask; an empty table gives
