@@ -92,6 +92,28 @@ def test_models_are_asked_again(spark):
     assert got == {1: ('{"a": 1}', None, 1), 2: (None, "no JSON found", 3), 3: (None, "model error: no line", 3)}
 
 
+def test_answers_in_files(spark, tmp_path, monkeypatch):
+    kept, other = tmp_path / "kept", tmp_path / "other"
+    for folder in (kept, other, tmp_path / "temp"):
+        folder.mkdir()
+        (folder / "a.json").write_text('{"a": "ä"}')
+    (kept / "empty.json").write_text(" \n")
+    (kept / "link.json").symlink_to(other / "a.json")
+    (tmp_path / "keptother").mkdir()
+    (tmp_path / "keptother" / "a.json").write_text("{}")
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path / "temp"))
+    read = lambda printed: asking.answer_file(printed, (str(kept), str(tmp_path / "missing")))
+    assert read(f"Done.\n  {kept}/a.json \n{other}/a.json") == '{"a": "ä"}' == read(f"{tmp_path}/temp/a.json")
+    refused = {"": "no file path", "a.json": "no file path", f"{kept}/none.json": "no such file", f"{kept}/empty.json": "empty file"}
+    refused |= dict.fromkeys((f"{other}/a.json", f"{kept}/../other/a.json", f"{kept}/link.json", f"{tmp_path}/keptother/a.json"), "not under an allowed folder")
+    for printed, why in refused.items():
+        with pytest.raises(ValueError, match=why):
+            read(printed)
+    asked = spark.createDataFrame([(1, f"{kept}/a.json"), (2, f"{kept}/none.json")], "changeset_id long, prompt string")
+    got = {r.changeset_id: (r.response, r.error) for r in asking.ask(asked, asking.through_files(lambda p: p, (str(kept),)), tries=1).collect()}
+    assert got == {1: ('{"a": "ä"}', None), 2: (None, f"model error: no such file: {kept}/none.json")}
+
+
 def test_labels_and_plans_from_a_model(hunks, commits):
     good, errors = asking.label_hunks(hunks, commits, lambda p: json.dumps({"category": "feature", "semantic_units": ["u"], "topic": "A Topic"}))
     assert good.count() == 4 and errors.isEmpty() and good.first().topic == "a_topic"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -56,6 +58,32 @@ def ask(prompts: DataFrame, model: Model, tries: int = TRIES, wait: float = 0.0,
     return prompts.mapInPandas(run, schema)
 
 
+def answer_file(printed: str, folders: tuple[str, ...] = ()) -> str:
+    """The text of the JSON file whose absolute path is the first such line of what a model printed.
+
+    The file must lie, links resolved, under the machine's temporary folder or one of ``folders``; a ValueError says why it can't be read.
+    """
+    path = next((x for x in map(str.strip, printed.split("\n")) if x.endswith(".json") and os.path.isabs(x)), None)
+    if path is None:
+        raise ValueError(f"no file path in: {printed[:200]}")
+    real = os.path.realpath(path)
+    if not os.path.isfile(real):
+        raise ValueError(f"no such file: {path}")
+    roots = [os.path.realpath(f) for f in (tempfile.gettempdir(), *folders) if os.path.isdir(f)]
+    if not any(os.path.commonpath((real, root)) == root for root in roots):
+        raise ValueError(f"not under an allowed folder: {real}")
+    with open(real, encoding="utf-8") as f:
+        text = f.read()
+    if not text.strip():
+        raise ValueError(f"empty file: {path}")
+    return text
+
+
+def through_files(model: Model, folders: tuple[str, ...] = ()) -> Model:
+    """A model that prints the path of its answer's file, as one that gives the answer; read where the model has run."""
+    return lambda prompt: answer_file(model(prompt), folders)
+
+
 def label_hunks(hunks: DataFrame, commits: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """(analyses, errors) of every hunk."""
     asked = ask(analysis_prompts(hunks, commits), model, ANALYSIS_TRIES, WAIT)
