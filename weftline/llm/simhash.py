@@ -133,14 +133,16 @@ def near_pairs(fingerprints: DataFrame, fp: str = "fingerprint") -> DataFrame:
     table = cut(table)
     flips = F.array(*[F.lit(1 << i) for i in range(32)])
     probes = table.where("bit_count(s) % 2 = 1").select("k", F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f))).alias("s"), "fp")
-    hot = cut(table.groupBy("k", "s").count().where(F.col("count") > HOT))
+    # Rows are told by a lookup whether their key is hot, so that no task gathers those of a hot key.
+    one = F.col("s") * 2 + F.col("k")
+    hot = cut(table.groupBy(one.alias("ks")).count().where(F.col("count") > HOT).select("ks", F.lit(True).alias("hot")))
     cool, asked, more = table, probes, None
     if not hot.isEmpty():
-        cool = table.join(hot, ["k", "s"], "left_anti")
-        asked = probes.join(hot, ["k", "s"], "left_anti")
-        members = table.union(probes.select(*table.columns)).join(hot, ["k", "s"]).select("k", "s", "fp")
-        sizes = members.groupBy("k", "s").agg(F.count("*").alias("n"))
-        more = _by_blocks(members.join(sizes, ["k", "s"]), MAX_BITS)
+        table, probes = (join_lookup(rows.withColumn("ks", one), hot, "ks") for rows in (table, probes.select(*table.columns)))
+        cool, asked = (rows.where("hot is null").drop("ks", "hot") for rows in (table, probes))
+        members = table.union(probes).where("hot")
+        sizes = cut(members.groupBy("ks").agg(F.count("*").alias("n")))
+        more = _by_blocks(join_lookup(members, sizes, "ks"), MAX_BITS)
     # One join serves both: a table row meets its equals (each pair once) and its one-bit neighbours.
     wanted = asked.select("k", "s", "fp", F.lit(True).alias("flip")).union(cool.select("k", "s", "fp", F.lit(False)))
     near = (F.bit_count(F.col("t.fp").bitwiseXOR(F.col("q.fp"))) <= MAX_BITS) & (F.col("flip") | (F.col("q.fp") < F.col("t.fp")))
