@@ -222,9 +222,10 @@ def near_duplicate_vectors(
     crowd = asked.groupBy("table", "cell").agg(F.count("*").alias("n"), F.max("home").alias("used")).where("used and n > 1").drop("used")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = asked.drop("home").distinct().join(crowd, ["table", "cell"]).withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("cid", "table", "cell", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    work = met.join(coded, "cid").repartition("table", "cell", "i", "j").sortWithinPartitions("table", "cell", "i", "j", "cid")
+    # Blocks are dealt after the join by id, which spreads a crowded cell's rows before they are repeated.
+    work = met.withColumn("blocks", blocks).join(coded, "cid").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("n", "blocks", "with")
+    work = work.repartition("table", "cell", "i", "j").sortWithinPartitions("table", "cell", "i", "j", "cid")
     links = cut(work.mapInArrow(lambda batches: _verify(batches, cosine), "id long, n long, root long"))
     roots = components(links.select("id", "root"), "id", "root").select(F.col("node").alias("cid"), F.col("root").alias("group"))
     counted = links.groupBy(F.col("id").alias("cid")).agg(F.sum("n").alias("n")).join(roots, "cid", "left")
