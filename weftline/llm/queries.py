@@ -15,6 +15,7 @@ from .embeddings import near_duplicate_vectors
 from .language import fit_languages, held_out, predict_languages
 from .mixing import MIX_SQL, mix_sources, word_count
 from .quality import quality_rules
+from .quantiles import quantile_report, shop_streams
 from .secrets import BASE_KINDS, find_secrets, listed
 from .simhash import near_duplicate_groups
 from .toxicity import fit_toxicity, score_toxicity
@@ -97,6 +98,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (_table(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items"))
+    found = quantile_report(shop_streams(*tables, batches=8), parts=10, least=20)
+    within = (1000 * F.col("rank_error") <= 50 * F.col("n")).alias("within")
+    return found.select("stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", within)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -108,6 +116,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_quantiles": op11_quantiles,
 }
 
 ORACLES: dict[str, str] = {
