@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_report
 from .byte_bpe import recode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
@@ -24,6 +25,7 @@ from .url_filter import FETCHED, URL_SQL, filter_urls, page_entries
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
 BPE_VOCAB = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_VOCABS = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,11 @@ def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", within)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ALIGNED_VOCABS)
+    return alignment_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -117,6 +124,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_quantiles": op11_quantiles,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {
