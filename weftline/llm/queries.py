@@ -13,6 +13,7 @@ from .byte_bpe import recode_bpe
 from .chat import DIGEST_SQL, conversation_digests, expand_replies
 from .common import cut
 from .embeddings import near_duplicate_vectors
+from .katz import score_texts
 from .language import fit_languages, held_out, predict_languages
 from .mixing import MIX_SQL, mix_sources, word_count
 from .quality import quality_rules
@@ -112,6 +113,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
 
 
+def op13_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, ~held_out("doc_id", 5, 1))
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -125,6 +132,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_quantiles": op11_quantiles,
     "op12_alignment": op12_alignment,
+    "op13_katz": op13_katz,
 }
 
 ORACLES: dict[str, str] = {
