@@ -49,7 +49,7 @@ def plain(text):
     both, found, i, j = sorted(set(ends[0]) & set(ends[1])), [], 0, 0
     for end in both:
         k, m = ends[0].index(end) + 1, ends[1].index(end) + 1
-        found.append((tuple(a[i:k]), tuple(b[j:m])))
+        found.append((a[i:k], b[j:m]))
         i, j = k, m
     return found
 
@@ -105,7 +105,7 @@ def test_transducer_by_offsets(data, left, right):
     groups = Transducer((names.__getitem__, names.__getitem__)).groups(*sides)
     ends = [{sum(len(names[i]) for i in ids[: k + 1]) for k in range(len(ids))} for ids in sides]
     assert len(groups) == len(ends[0] & ends[1])
-    assert [sum((g[k] for g in groups), ()) for k in (0, 1)] == [tuple(s) for s in sides]
+    assert [sum((g[k] for g in groups), []) for k in (0, 1)] == sides
     assert all(b"".join(map(names.get, a)) == b"".join(map(names.get, b)) for a, b in groups)
 
 
@@ -130,7 +130,7 @@ def test_align_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "ab cd", "k"), (1, "ab cd", "k"), (None, None, "z")], "doc_id long, text string, groups string")
     got = align(df, A, B).collect()
     assert len(got) == 3 and got[0].groups == got[1].groups and got[2].groups == []
-    assert [(tuple(g.a), tuple(g.b)) for g in got[0].groups] == plain("ab cd") and got[0].groups[-1].end == len(" ab cd")
+    assert [(g.a, g.b) for g in got[0].groups] == plain("ab cd") and got[0].groups[-1].end == len(" ab cd")
     assert align(df.limit(0), A, B).collect() == [] and alignment_report(df.limit(0), A, B).collect() == []
 
 

@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ from tokenizers import Tokenizer
 from .common import join_lookup, stored, text_column, without
 
 #: Chunks that a worker keeps, and characters of the longest one that it keeps.
-MEMO, LONG = 400_000, 64
+MEMO, LONG = 700_000, 64
 #: Rows of the table of linked pairs up to which it is broadcast.
 PAIR_ROWS = 1_000_000
 #: A blank that begins a chunk. Signs that only some engines take for white space don't count as signs here.
@@ -47,7 +48,7 @@ _MARK = "▁"
 SUMMARY = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,groups_sha256:string,pairs:array<bigint>,times:array<int>>"
 GROUPS = "array<struct<a:array<int>,b:array<int>,start:int,end:int>>"
 
-Groups = list[tuple[tuple[int, ...], tuple[int, ...]]]
+Groups = list[tuple[list[int], list[int]]]
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -62,7 +63,7 @@ class Transducer:
 
     def __init__(self, pieces: tuple[Callable[[int], bytes], Callable[[int], bytes]]):
         self.pieces = pieces
-        self.states, self.names = [(0, b"")], {(0, b""): 0}
+        self.states, self.behind, self.names = [(0, b"")], [0], {(0, b""): 0}
         self.moves: dict[tuple[int, int], int] = {}
 
     def _move(self, state: int, token: int) -> int:
@@ -80,26 +81,34 @@ class Transducer:
         if after not in self.names:
             self.names[after] = len(self.states)
             self.states.append(after)
+            self.behind.append(after[0])
         return self.names[after]
 
     def groups(self, a: list[int], b: list[int]) -> Groups | None:
         """The groups of two tokenizations; None if their bytes differ."""
-        sides, at, start, state, found = (a, b), [0, 0], (0, 0), 0, []
+        moves, behind, found = self.moves, self.behind, []
+        state = i = j = first = second = 0
         while True:
-            behind = self.states[state][0]
-            if at[behind] == len(sides[behind]):
-                return found if state == 0 and at[0] == len(a) and at[1] == len(b) else None
-            token = sides[behind][at[behind]]
-            at[behind] += 1
-            after = self.moves.get((state, token))
+            if behind[state]:
+                if j == len(b):
+                    break
+                token = b[j]
+                j += 1
+            else:
+                if i == len(a):
+                    break
+                token = a[i]
+                i += 1
+            after = moves.get((state, token))
             if after is None:
-                after = self.moves[state, token] = self._move(state, token)
-            if after < 0:
-                return None
+                after = moves[state, token] = self._move(state, token)
             if after == 0:
-                found.append((tuple(a[start[0] : at[0]]), tuple(b[start[1] : at[1]])))
-                start = tuple(at)
+                found.append((a[first:i], b[second:j]))
+                first, second = i, j
+            elif after < 0:
+                return None
             state = after
+        return found if state == 0 and i == len(a) and j == len(b) else None
 
 
 class Aligner:
@@ -124,15 +133,14 @@ class Aligner:
         pieces = b"".join(self.b_bytes[i] for i in self.b.encode(probe))
         return pieces == (" " + probe).encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Tokens of a blank and the text by either side."""
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-
-    def _aligned(self, text: str) -> Groups | None:
-        a, b = self.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != b" " + text.encode():
-            return None
-        return self.transducer.groups(a, b)
+    def _aligned(self, texts: list[str]) -> list[Groups | None]:
+        """The groups of each text as a whole; None where its tokens give other bytes."""
+        found = []
+        left = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for text, a, b in zip(texts, (e.ids for e in left), self.b.encode(texts, num_threads=1)):
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == b" " + text.encode()
+            found.append(self.transducer.groups(a, b) if same else None)
+        return found
 
     def _chunks(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
@@ -141,44 +149,53 @@ class Aligner:
         """All groups of a text; none if its bytes aren't those of its tokens."""
         if not text:
             return []
-        parts = list(map(self._aligned, self._chunks(text)))
+        parts = self._aligned(self._chunks(text))
         return [] if None in parts else list(chain.from_iterable(parts))
 
-    def _known(self, chunk: str) -> tuple | None:
-        """Of a chunk: its groups in writing, numbers of tokens and groups, and the pairs that end together."""
-        groups = self._aligned(chunk)
-        if groups is None:
-            told = None
-        else:
-            text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-            pairs = np.array([a[-1] << 32 | b[-1] for a, b in groups], np.int64)
-            told = (text, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), pairs)
-        if len(chunk) <= LONG:
-            if len(self.memo) >= self.memo_limit:
-                self.memo.clear()
-            self.memo[chunk] = told
+    def _know(self, chunks: list[str]) -> dict[str, tuple | None]:
+        """Of each chunk: its groups in writing, numbers of tokens and groups, and the pairs that end together."""
+        found = {}
+        for chunk, groups in zip(chunks, self._aligned(chunks)):
+            if groups is None:
+                found[chunk] = None
+                continue
+            texts, n_a, n_b = [], 0, 0
+            for a, b in groups:
+                texts.append(f"{a[0]}|{b[0]}" if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+                n_a += len(a)
+                n_b += len(b)
+            found[chunk] = ";".join(texts), n_a, n_b, len(groups), tuple([a[-1] << 32 | b[-1] for a, b in groups])
+        return found
+
+    def summaries(self, texts: list[str | None]) -> list[tuple]:
+        """Of each text n_a, n_b, n_groups, digest, distinct linked pairs and how often each is linked."""
+        rows = [self._chunks(t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(rows)).difference(self.memo))
+        found = self._know(new)
+        if len(self.memo) + len(new) > self.memo_limit:
+            found |= {c: self.memo[c] for c in set(chain.from_iterable(rows)).intersection(self.memo)}
+            self.memo.clear()
+        self.memo.update(found)
+        told = [self._summary([self.memo[c] for c in row]) for row in rows]
+        for c in new:
+            if len(c) > LONG:
+                del self.memo[c]
         return told
 
-    def summary(self, text: str | None) -> tuple:
-        """n_a, n_b, n_groups, digest, distinct linked pairs and how often each is linked."""
-        get = self.memo.get
-        missing = object()
-        told = []
-        for chunk in self._chunks(text) if text else ():
-            known = get(chunk, missing)
-            if known is missing:
-                known = self._known(chunk)
-            if known is None:
-                told = []
-                break
-            told.append(known)
-        if not told:
+    def _summary(self, told: list[tuple | None]) -> tuple:
+        if not told or None in told:
             return 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
         texts, n_a, n_b, n_groups, pairs = zip(*told)
-        pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+        pairs, times = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64, sum(n_groups)), return_counts=True)
         return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(texts).encode()).hexdigest(), pairs, times.astype(np.int32)
 
 
+@lru_cache(1)
+def _aligner(*files: bytes) -> Aligner:
+    """One a worker process, so that tasks after the first find its chunks known."""
+    return Aligner(*files)
+
+
 def _spans(aligner: Aligner, text: str | None) -> list[dict]:
     found, at = [], 0
     for a, b in aligner.groups(text):
@@ -201,7 +218,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", out: str
     files, df = _files(a_path, b_path), without(df, out)
 
     def work() -> Callable[[list[str | None]], pa.Array]:
-        aligner = Aligner(*files)
+        aligner = _aligner(*files)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("start", pa.int32()), ("end", pa.int32())]))
         return lambda texts: pa.array([_spans(aligner, t) for t in texts], kind)
 
@@ -212,12 +229,12 @@ def _summaries(df: DataFrame, a_path: str, b_path: str, text: str) -> Column:
     files = _files(a_path, b_path)
 
     def work() -> Callable[[list[str | None]], pa.Array]:
-        aligner = Aligner(*files)
+        aligner = _aligner(*files)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
 
         def turn(texts: list[str | None]) -> pa.Array:
-            columns = list(zip(*map(aligner.summary, texts))) or [[]] * len(kinds)
+            columns = list(zip(*aligner.summaries(texts))) or [[]] * len(kinds)
             return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         return turn

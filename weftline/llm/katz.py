@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import drop_at_exit, drop_folder, ensure_checkpoint_dir, join_lookup, small_slices, stored, texts_of
 
 #: Bytes of text in a block, and about how many of them answer for one bucket of the n-gram tables.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 8 << 20
 #: Counts up to which Turing's estimate may be taken, and up to which n(r) enters the log-linear fit.
 RELIABLE, FITTED = 5, 100
 #: The log-linear slope is kept below this, so that every count is discounted.
