@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from weftline.llm import language as L
 
@@ -105,3 +106,11 @@ def test_repeated_keys_do_not_widen_the_sample(spark, monkeypatch):
     model = L.fit_languages(df)
     assert model.languages == ["aa", "bb"]
     assert {r.lang_pred for r in L.predict_languages(df, model).where("doc_id = 8").collect()} == {"bb"}
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"text of {k} number {i}", k) for i, k in enumerate("abc" * 5)], "doc_id long, text string, lang string")
+    assert len(L.fit_languages(df.where("lang <> 'c'")).languages) == 2
+    with pytest.raises(ValueError, match="3 languages"):
+        L.fit_languages(df)

@@ -138,3 +138,18 @@ def test_similar_texts_are_one_group(spark):
     assert beyond > 50 and got == group
     assert C.near_dedup(spark, df, "").count() == len(set(group.values()))
     assert S.keep_one_of_each_group(df).count() > len(set(group.values()))
+
+
+def test_a_set_is_compared_once_however_often_it_is_stored(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(999)}" for _ in range(120)]
+    near = " ".join([*base[:60], "other", *base[61:]])
+    rows = [(None, " ".join(base))] * 2000 + [(7, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    of = F.struct(F.lit(None).cast("long").alias("id"), F.md5(F.lit(" ".join(base))).alias("t"))
+    hanging = spark.range(1).select(F.lit(1).cast("long").alias("x"), F.lit(5).cast("long").alias("fp"), of.alias("of"))
+    other = F.struct(F.lit(7).cast("long").alias("id"), F.md5(F.lit(near)).alias("t"))
+    hanging = hanging.union(spark.range(1).select(F.lit(2).cast("long"), F.lit(6).cast("long"), other))
+    sets = S._asked_sets(df, hanging, "text", "doc_id", 5).collect()
+    assert sorted((r.x, r.fp, len(r.h) // 8) for r in sets) == [(1, 5, 116), (2, 6, 116)]
+    assert {r.component_id for r in S.near_duplicate_groups(df, similarity=0.8).collect()} == {7}

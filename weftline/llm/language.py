@@ -29,7 +29,7 @@ DIMENSIONS = 1 << 12
 #: Labelled documents used for one language, and for all of them together.
 SAMPLE, SAMPLE_ALL = 400, 20_000
 CENTROIDS, ROUNDS = 4, 12
-#: Languages learned at most, those with the most labelled documents.
+#: Languages from which on nothing is learned and an error says so: their centroids are held by the driver and each task.
 LANGUAGES = 1000
 #: The floor of a length class: the quantile of its sampled documents that MARGIN lowers, and how far ABOVE the others it may lie.
 QUANTILE, MARGIN, ABOVE = 0.01, 0.85, 1.1
@@ -108,8 +108,10 @@ def _sampled(df: DataFrame, key: str, lang: str, text: str = "text") -> DataFram
     slim = df.where(F.col(key).isNotNull() & F.col(lang).isNotNull())
     slim = slim.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.xxhash64(text).alias("__h"))
     lot = F.xxhash64("__key", "__h")
-    sizes = slim.groupBy("__lang").agg(F.approx_count_distinct(lot).alias("n")).orderBy(F.desc("n"), "__lang").limit(LANGUAGES)
+    sizes = slim.groupBy("__lang").agg(F.approx_count_distinct(lot).alias("n"))
     sizes = cut(sizes)
+    if (n := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages; {LANGUAGES} can be learned, and none is left out")
     each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, sizes.count())))
     place = F.pmod(lot, F.lit(1 << 30)) / float(1 << 30)
     thin = slim.join(F.broadcast(sizes), "__lang").where(place * F.col("n") < 2 * each + 20).select("__key", "__lang", "__h").distinct()

@@ -13,7 +13,7 @@ Edge cases: a null or empty text, or one of white space only, has fingerprint ze
 a text of one or two words is one shingle; rows with equal ids share what their texts get; a group's id is its
 smallest id that is not null, null only if it has none; an empty table gives an empty result; input columns named
 like an output column are replaced. A text is hashed in chunks, so memory does not follow its length (in
-``similar_links`` it does, by 8 bytes a shingle). n sets of shingles that hang together are compared in (n / 512)^2 / 2
+``similar_links`` it does, by 8 bytes a shingle). n sets of shingles that hang together are compared in (n / 2048)^2 / 2
 pairs of blocks; sets that no text shares or nearly shares cost nothing there.
 """
 
@@ -39,7 +39,7 @@ HOT, BLOCK = 512, 2048
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
 BANDS, ROWS = 40, 8
 #: Sets, and shingles in them, that make a block of the verification.
-PER_BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+PER_BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 SKETCH = "struct<fp:long,x:long,n:long,bands:array<long>>"
 _COLUMNS = 4096
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,15 +233,20 @@ def similar_links(df: DataFrame, sketched: DataFrame, text: str, key: str, simil
     placed = crowded.select("x", "s").join(hanging.select("x", "root").join(weights, "root").select("x", "root", own), "x")
     blocks = placed.select("s", F.col("own").alias("other")).distinct()
     cells = placed.join(blocks, "s").select("x", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
+    work = cells.join(_asked_sets(df, hanging, text, key, words), "x").select("root", "i", "j", "own", "fp", "h")
+    return equal.union(work.groupBy("root", "i", "j").applyInArrow(lambda t: _alike(t, similarity), "a long, b long"))
+
+
+def _asked_sets(df: DataFrame, hanging: DataFrame, text: str, key: str, words: int) -> DataFrame:
+    """(x, fp, h): the shingles of each set once, however many rows of one id and text have it."""
     asked = hanging.select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t"), "x", "fp")
     if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     hashes = text_column(df.sparkSession, "binary", lambda: lambda texts: pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary()))
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     wanted = texts.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (_text_name("text") == F.col("__t"))).select("x", "fp", hashes("text").alias("h"))
-    # Rows with one id and one text are one set; each counts once.
-    work = cells.join(wanted, "x").select("root", "i", "j", "own", "fp", "h")
-    return equal.union(work.groupBy("root", "i", "j").applyInArrow(lambda t: _alike(t, similarity), "a long, b long"))
+    # Repeats go before the shuffle by x, which the join with the cells then finds done.
+    return wanted.groupBy("x").agg(F.first("fp").alias("fp"), F.first("h").alias("h"))
 
 
 def _text_name(text: str) -> Column:
