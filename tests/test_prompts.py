@@ -1,6 +1,7 @@
 """What models are asked, and assessments from end to end."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,16 +103,36 @@ def test_answers_in_files(spark, tmp_path, monkeypatch):
     (tmp_path / "keptother").mkdir()
     (tmp_path / "keptother" / "a.json").write_text("{}")
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path / "temp"))
-    read = lambda printed: asking.answer_file(printed, (str(kept), str(tmp_path / "missing")))
-    assert read(f"Done.\n  {kept}/a.json \n{other}/a.json") == '{"a": "ä"}' == read(f"{tmp_path}/temp/a.json")
-    refused = {"": "no file path", "a.json": "no file path", f"{kept}/none.json": "no such file", f"{kept}/empty.json": "empty file"}
-    refused |= dict.fromkeys((f"{other}/a.json", f"{kept}/../other/a.json", f"{kept}/link.json", f"{tmp_path}/keptother/a.json"), "not under an allowed folder")
-    for printed, why in refused.items():
-        with pytest.raises(ValueError, match=why):
-            read(printed)
-    asked = spark.createDataFrame([(1, f"{kept}/a.json"), (2, f"{kept}/none.json")], "changeset_id long, prompt string")
-    got = {r.changeset_id: (r.response, r.error) for r in asking.ask(asked, asking.through_files(lambda p: p, (str(kept),)), tries=1).collect()}
-    assert got == {1: ('{"a": "ä"}', None), 2: (None, f"model error: no such file: {kept}/none.json")}
+    printed = {f"Done.\n  {kept}/a.json \n{other}/a.json": None, f"{tmp_path}/temp/a.json": None, "": "no file path", "a.json": "no file path",
+               f"{kept}/none.json": "no such file", f"{kept}/empty.json": "empty file"}
+    printed |= dict.fromkeys((f"{other}/a.json", f"{kept}/../other/a.json", f"{kept}/link.json", f"{tmp_path}/keptother/a.json"), "not under an allowed folder")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(printed)], "changeset_id long, response string")
+    got = asking.answers_in_files(asked, (str(kept), str(tmp_path / "missing"), str(tmp_path / "temp"))).collect()
+    assert len(got) == len(printed)
+    for r, why in zip(sorted(got), printed.values()):
+        assert (r.response, r.error) == ('{"a": "ä"}', None) if why is None else r.response is None and r.error.startswith(why)
+    assert {r.error[:12] for r in asking.answers_in_files(asked, ()).collect()} == {"no file path", "not under an"}
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    calls, fails = tmp_path / "calls", tmp_path / "fails"
+    calls.mkdir()
+
+    def model(prompt):
+        (calls / uuid.uuid4().hex).write_text(prompt)
+        if prompt == "p3" and fails.exists():
+            raise OSError("gone")
+        return "{}"
+
+    fails.touch()
+    df = spark.createDataFrame([(i, f"p{i % 5}") for i in range(40)], "changeset_id long, prompt string").repartition(6)
+    log = f"{tmp_path}/log"
+    asked = asking.ask(df, model, tries=2, log=log, at_once=3)
+    assert asked.count() == 40 and asked.where("response is null").count() == 8 and {r.tries for r in asked.collect()} == {1, 2}
+    assert sorted(p.read_text() for p in calls.iterdir()) == ["p0", "p1", "p2", "p3", "p3", "p4"]
+    fails.unlink()
+    again = asking.ask(df, model, tries=2, log=log, at_once=3)
+    assert again.where("response is null").count() == 0 and len(list(calls.iterdir())) == 7
 
 
 def test_labels_and_plans_from_a_model(hunks, commits):
