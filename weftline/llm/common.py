@@ -64,14 +64,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to a folder of its own in the shared checkpoint folder and read again: compressed, and gone when the application ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared checkpoint folder, which goes when the application ends."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     drop_at_exit(spark, folder)
+    return folder
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to a folder of its own in the shared checkpoint folder and read again: compressed, and gone when the application ends.
+
+    Unlike a checkpoint's, small parts are read several to a task, and ``folder`` can be dropped when no longer needed.
+    """
+    folder = folder or shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_SHARE, cut, join_hot, join_lookup, text_column, without
+from .common import BROADCAST_ROWS, HOT_SHARE, join_hot, join_lookup, stored, text_column, without
 from .graph import components
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -130,18 +130,18 @@ def near_pairs(fingerprints: DataFrame, fp: str = "fingerprint") -> DataFrame:
         F.struct(F.lit(k).alias("k"), F.expr(f"cast(shiftrightunsigned(fp, {32 * k}) & 4294967295L as bigint)").alias("s")) for k in (0, 1)
     ])).alias("h")
     table = fingerprints.select(F.col(fp).alias("fp")).distinct().select("fp", halves).select("fp", "h.k", "h.s")
-    table = cut(table)
+    table = stored(table)
     flips = F.array(*[F.lit(1 << i) for i in range(32)])
     probes = table.where("bit_count(s) % 2 = 1").select("k", F.explode(F.transform(flips, lambda f: F.col("s").bitwiseXOR(f))).alias("s"), "fp")
     # Rows are told by a lookup whether their key is hot, so that no task gathers those of a hot key.
     one = F.col("s") * 2 + F.col("k")
-    hot = cut(table.groupBy(one.alias("ks")).count().where(F.col("count") > HOT).select("ks", F.lit(True).alias("hot")))
+    hot = stored(table.groupBy(one.alias("ks")).count().where(F.col("count") > HOT).select("ks", F.lit(True).alias("hot")))
     cool, asked, more = table, probes, None
     if not hot.isEmpty():
         table, probes = (join_lookup(rows.withColumn("ks", one), hot, "ks") for rows in (table, probes.select(*table.columns)))
         cool, asked = (rows.where("hot is null").drop("ks", "hot") for rows in (table, probes))
         members = table.union(probes).where("hot")
-        sizes = cut(members.groupBy("ks").agg(F.count("*").alias("n")))
+        sizes = stored(members.groupBy("ks").agg(F.count("*").alias("n")))
         more = _by_blocks(join_lookup(members, sizes, "ks"), MAX_BITS)
     # One join serves both: a table row meets its equals (each pair once) and its one-bit neighbours.
     wanted = asked.select("k", "s", "fp", F.lit(True).alias("flip")).union(cool.select("k", "s", "fp", F.lit(False)))
@@ -221,13 +221,13 @@ def similar_links(df: DataFrame, sketched: DataFrame, text: str, key: str, simil
     """
     sets = sketched.where("n > 0").groupBy("x").agg(
         F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("id", "t")).alias("of"), F.min("bands").alias("bands"))
-    sets = cut(sets)
+    sets = stored(sets)
     equal = sketched.where("n > 0").select("x", F.col("fp").alias("a")).distinct().join(sets.select("x", F.col("fp").alias("b")), "x").where("a <> b").select("a", "b")
     banded = sets.select("x", F.explode("bands").alias("s")).repartition("s")
     first = banded.groupBy("s").agg(F.min("x").alias("c"), F.max("x").alias("m")).where("c <> m").select("s", "c")
-    crowded = cut(banded.join(first, "s"))
+    crowded = stored(banded.join(first, "s"))
     hanging = components(crowded.select("x", "c"), "x", "c").select(F.col("node").alias("x"), "root")
-    hanging = cut(hanging.join(sets.drop("bands"), "x"))
+    hanging = stored(hanging.join(sets.drop("bands"), "x"))
     weights = hanging.groupBy("root").agg(F.greatest(F.count("*") / PER_BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("load"))
     own = F.pmod(F.xxhash64("x"), F.ceil("load")).cast("int").alias("own")
     placed = crowded.select("x", "s").join(hanging.select("x", "root").join(weights, "root").select("x", "root", own), "x")
@@ -260,11 +260,11 @@ def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text"
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     if similarity is None:
-        prints = cut(simhash(docs, "text", "fp").select("id", "fp"))
+        prints = stored(simhash(docs, "text", "fp").select("id", "fp"))
     else:
         sketch = text_column(df.sparkSession, SKETCH, lambda: lambda texts: _sketches(texts, SIMILAR_WORDS))
-        prints = cut(docs.select("id", _text_name("text").alias("t"), sketch("text").alias("s")).select("id", "t", "s.*"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+        prints = stored(docs.select("id", _text_name("text").alias("t"), sketch("text").alias("s")).select("id", "t", "s.*"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     links = near_pairs(nodes, "fp")
     if similarity is not None:
         links = links.union(similar_links(df, prints, text, key, similarity))
@@ -288,11 +288,11 @@ def keep_one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text
     Of several rows with that key the one with the least text stays (null first). Rows with a null key are
     compared by text: they go if their group holds a key, else one of each fingerprint stays.
     """
-    groups = cut(near_duplicate_groups(df, key, text, similarity))
+    groups = stored(near_duplicate_groups(df, key, text, similarity))
     # The keys that go are fewer than those that stay, and the texts need no shuffle while they are few.
     first = F.max(F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
     gone = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(first.alias("first")).where("not first")
-    gone = cut(gone.select(F.col(key), F.lit(True).alias("__gone")))
+    gone = stored(gone.select(F.col(key), F.lit(True).alias("__gone")))
     kept = join_lookup(df, gone, key).where(F.col("__gone").isNull() & F.col(key).isNotNull()).select(*df.columns)
     if groups.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).limit(1).count():
         kept = _first_rows(kept, key, text)
