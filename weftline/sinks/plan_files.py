@@ -1,7 +1,15 @@
-"""Plans and assessments stored as JSON, one object for each change set, and read back."""
+"""Plans and assessments stored as JSON, one object for each change set, and read back.
+
+A store is a folder to which every save adds a folder of its own, so saving one change set leaves the files of all others
+alone, and a save that breaks off leaves what was there: only saves that ended (they hold ``_SUCCESS``) are read. Of a
+change set the object saved last counts. ``compact`` writes these into one save and removes the ones before it.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +44,63 @@ def stored_plans(plan: Plan, strategy: str, created: DataFrame | None = None) ->
     return plans.select("changeset_id", F.to_json(body).alias("stored"))
 
 
+def _append(rows: DataFrame, path: str, kind: str) -> None:
+    """Lines of JSON added to a store as a save of their own; later saves have greater names."""
+    rows.select("stored").write.text(f"{path}/{kind}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+
+
+def _saves(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """The folders of the saves that ended, oldest first; as many as there were saves since the store was compacted."""
+    place_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}-*/_SUCCESS")
+    found = place_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place_)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+def _lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(changeset_id, saved, stored) of all saves of a kind."""
+    saves = _saves(spark, path, kind)
+    if not saves:
+        return spark.createDataFrame([], "changeset_id long, saved string, stored string")
+    saved = F.regexp_extract("_metadata.file_path", f"/{kind}-([^/]+)/[^/]*$", 1)
+    return spark.read.text(saves).select(F.get_json_object("value", "$.changeset_id").cast("long").alias("changeset_id"), saved.alias("saved"), F.col("value").alias("stored"))
+
+
+def _latest(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(changeset_id, saved, stored): what was saved last of each change set."""
+    last = _lines(spark, path, kind).groupBy("changeset_id").agg(F.max(F.struct("saved", "stored")).alias("x"))
+    return last.select("changeset_id", "x.saved", "x.stored")
+
+
 def save_plans(plan: Plan, strategy: str, path: str, created: DataFrame | None = None) -> None:
-    stored_plans(plan, strategy, created).select("stored").write.mode("overwrite").text(path)
+    """Adds these change sets' plans to the store at ``path``; plans of theirs saved before no longer count, nor does their progress."""
+    _append(stored_plans(plan, strategy, created), path, "plans")
+
+
+def save_progress(created: DataFrame, path: str) -> None:
+    """Adds to the store at ``path`` that commits were made: ``created`` is changeset_id, commit_pos, created_sha. No plan is read or written."""
+    _append(created.select(F.to_json(F.struct("changeset_id", "commit_pos", "created_sha")).alias("stored")), path, "progress")
+
+
+def _made(spark: SparkSession, path: str, plans: DataFrame) -> DataFrame:
+    """(changeset_id, commit_pos, created_sha) saved as progress after the change set's plan; of a commit the last one."""
+    lines = _lines(spark, path, "progress").withColumn("m", F.from_json("stored", "commit_pos int, created_sha string"))
+    rows = lines.join(plans.select("changeset_id", F.col("saved").alias("since")), "changeset_id").where("saved > since and m.commit_pos is not null")
+    return rows.groupBy("changeset_id", "m.commit_pos").agg(F.max(F.struct("saved", "m.created_sha")).alias("x")).select("changeset_id", "commit_pos", "x.created_sha")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Writes what counts of a store of plans as one save, progress included, and then removes the saves before it."""
+    old = _saves(spark, path, "plans") + _saves(spark, path, "progress")
+    plans = _latest(spark, path, "plans")
+    made = _made(spark, path, plans).groupBy("changeset_id").agg(F.map_from_entries(F.collect_list(F.struct("commit_pos", "created_sha"))).alias("made"))
+    rows = plans.join(made, "changeset_id", "left").withColumn("p", F.from_json("stored", STORED))
+    sha = lambda c, i: F.coalesce(F.try_element_at("made", i), c["created_sha"])
+    commits = F.transform("p.commits", lambda c, i: c.withField("created_sha", sha(c, i)))
+    at = F.greatest("p.next_commit_index", F.array_max(F.map_keys("made")) + 1)
+    body = F.to_json(F.struct("changeset_id", "p.version", "p.strategy", at.alias("next_commit_index"), commits.alias("commits")))
+    _append(rows.select(F.when(F.col("made").isNull(), F.col("stored")).otherwise(body).alias("stored")), path, "plans")
+    for save in old:
+        delete_stored(spark, save)
 
 
 def read_plans(stored: DataFrame) -> tuple[Plan, DataFrame]:
@@ -55,7 +118,11 @@ def read_plans(stored: DataFrame) -> tuple[Plan, DataFrame]:
 
 
 def load_plans(spark: SparkSession, path: str) -> tuple[Plan, DataFrame]:
-    return read_plans(spark.read.text(path).withColumnRenamed("value", "stored"))
+    """(plan, progress) of a store: each change set's last plan, and the first commit after those that were made."""
+    latest = _latest(spark, path, "plans")
+    plan, progress = read_plans(latest)
+    made = _made(spark, path, latest).groupBy("changeset_id").agg((F.max("commit_pos") + 1).alias("made"))
+    return plan, progress.join(made, "changeset_id", "left").select("changeset_id", F.greatest("next_index", "made").alias("next_index"))
 
 
 #: An assessment as it is stored: one object for each change set.
@@ -80,7 +147,8 @@ def stored_assessments(scores: DataFrame, commits: DataFrame, ends: DataFrame, a
 
 
 def save_assessments(stored: DataFrame, path: str) -> None:
-    stored.select("stored").write.mode("overwrite").text(path)
+    """Adds these change sets' assessments to the store at ``path``; theirs saved before no longer count."""
+    _append(stored, path, "assessments")
 
 
 def read_assessments(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +158,7 @@ def read_assessments(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_assessments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return read_assessments(spark.read.text(path).withColumnRenamed("value", "stored"))
+    return read_assessments(_latest(spark, path, "assessments"))
 
 
 def delete_stored(spark: SparkSession, path: str) -> bool:
