@@ -297,3 +297,21 @@ def test_zip_by_position(spark):
     right = spark.createDataFrame([(1, i, f"b{i}") for i in range(2)], "changeset_id long, position int, b string")
     found = assignment.zip_positions(left, right)
     assert sorted((r.a, r.b) for r in found.collect()) == [("a0", "b0"), ("a1", "b1")]
+
+
+def test_percents_are_rounded_as_in_sql(spark):
+    """Every twentieth of a percent, ties among them, is written as DuckDB rounds the decimal it casts the double to."""
+    import duckdb
+
+    want = duckdb.sql("select k, printf('%.1f', round(CAST(round(k / 2000.0::DOUBLE * 100, 9) AS DECIMAL(38, 14)), 1)::DOUBLE) from range(-2000, 2001) t(k)").fetchall()
+    rows = spark.range(-2000, 2001).select("id", (F.col("id") / F.lit(2000.0)).alias("share"))
+    got = {r.id: r.text for r in rows.select("id", F.format_string("%.1f", assessment.percent("share")).alias("text")).collect()}
+    assert {k: float(v) for k, v in got.items()} == {k: float(v) for k, v in want} and got[1287] == "64.3"
+
+
+def test_a_fall_below_a_tenth_of_a_percent_keeps_its_sign(spark):
+    """64.34 % before, 64.32 % after: the change is written as -0.0."""
+    side = lambda many, n: spark.createDataFrame([(1, f"{i:05}", "atomicity", 5 if i < many else 3 if i == many else 2) for i in range(n)], "changeset_id long, sha string, criterion string, level int")
+    before, after = side(811, 2000), side(4053, 10000)
+    assert reports.comparison_report(before, after, "compact").first().report.split(" -> ")[0] == "64.3%"
+    assert reports.comparison_report(before, after, "compact").first().report.endswith("(-0.0%)")

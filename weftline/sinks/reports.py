@@ -86,7 +86,7 @@ def comparison_report(before: DataFrame, after: DataFrame, fmt: str = "pretty")
     if fmt == "json":
         return rows.select("changeset_id", F.to_json(F.struct(F.col("b").alias("before"), F.col("a").alias("after"), "delta", "improvements", "regressions"), {"pretty": "true"}).alias("report"))
     written = lambda c: F.format_string("%.1f%%", percent(c))
-    change = F.concat(F.when(F.col("delta") > 0, "+").otherwise(""), written("delta"))
+    change = F.concat(F.when(F.col("delta") > 0, "+").when(F.col("delta") < 0, "-").otherwise(""), written(F.abs("delta")))
     if fmt == "compact":
         return rows.select("changeset_id", F.concat(written("b"), F.lit(" -> "), written("a"), F.lit(" ("), change, F.lit(")")).alias("report"))
 
