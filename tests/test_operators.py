@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from weftline import fixtures
 from weftline.functions import text as X
 from weftline.functions.rubric import CRITERIA
 from weftline.operators import assignment
@@ -315,3 +316,15 @@ def test_a_fall_below_a_tenth_of_a_percent_keeps_its_sign(spark):
     before, after = side(811, 2000), side(4053, 10000)
     assert reports.comparison_report(before, after, "compact").first().report.split(" -> ")[0] == "64.3%"
     assert reports.comparison_report(before, after, "compact").first().report.endswith("(-0.0%)")
+
+
+@pytest.mark.parametrize("by", ["customer", "nation"])
+def test_sparks_hunks_are_those_of_the_view(spark, by):
+    """Both texts give the same rows, and the one for Spark moves no text that follows from other columns."""
+    sf = "/root/testdata/sf0.001"
+    plain = fixtures.VIEWS["hunks"].replace("@key", fixtures.KEYS[by]).replace("@days", fixtures._DAYS["spark"])
+    plain = spark.sql(plain, **{n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders", "customer", "part")})
+    made = fixtures.view(spark, sf, "hunks", by)
+    assert made.schema == plain.schema and made.count() == plain.count() and made.exceptAll(plain).isEmpty()
+    tree = made.select("changeset_id", "hunk_id", "sha", "file_path")._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("md5(") < tree.index("Window [")

@@ -1,6 +1,7 @@
 """Views of the synthetic tables as hunks, commits, plans, analyses, scores and responses.
 
-Each view is one SQL text that Spark and DuckDB both read, so a query and its SQL start from the same rows.
+Each view is one SQL text that Spark and DuckDB both read, so a query and its SQL start from the same rows; Spark has a text of
+its own for the hunks, which a test holds against the other one.
 Numbering is done within a change set: no window spans the whole table.
 """
 
@@ -28,6 +29,18 @@ FROM (
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
 ) placed"""
 
+#: The same rows for Spark: what follows from a line's own columns is made after the numbering, so that it is neither shuffled nor sorted.
+_SPARK_HUNKS = """
+SELECT changeset_id, hunk_id, l_orderkey AS commit_id, md5(CAST(l_orderkey AS STRING)) AS sha,
+  concat(CASE WHEN l_partkey % 2 = 0 THEN 'part/' ELSE 'part-alt/' END, p_brand, '/', CAST(l_partkey % 40 AS STRING)) AS file_path,
+  old_start, old_count, old_start AS new_start, greatest(CAST(0 AS BIGINT), old_count + l_linenumber - 4) AS new_count, p_name, p_type, p_size
+FROM (SELECT *, CAST(@days AS BIGINT) AS old_start, CAST(l_quantity AS BIGINT) - 1 AS old_count FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY changeset_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+    l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS BIGINT) AS hunk_id
+  FROM (SELECT *, @key AS changeset_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+    JOIN {part} ON l_partkey = p_partkey) owned) numbered
+) placed"""
+
 _COMMITS = """
 SELECT changeset_id, o_orderkey AS commit_id, md5(CAST(o_orderkey AS STRING)) AS sha, o_orderpriority AS short,
   concat(o_orderpriority, chr(10), chr(10), 'Status ', o_orderstatus) AS long,
@@ -106,7 +119,7 @@ def _needs(name: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str, by: str = "customer") -> DataFrame:
     """A view of the tables in ``sf_dir``."""
     sources = {n: view(spark, sf_dir, n, by) if n in VIEWS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in _needs(name)}
-    return spark.sql(VIEWS[name].replace("@key", KEYS[by]).replace("@days", _DAYS["spark"]).replace("@branches", _BRANCHES["spark"]), **sources)
+    return spark.sql({"hunks": _SPARK_HUNKS}.get(name, VIEWS[name]).replace("@key", KEYS[by]).replace("@days", _DAYS["spark"]).replace("@branches", _BRANCHES["spark"]), **sources)
 
 
 def with_views(*names: str, by: str = "customer") -> str:
@@ -129,8 +142,8 @@ def with_views(*names: str, by: str = "customer") -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def with_lines(hunks: DataFrame) -> DataFrame:
-    """Hunks with lines: the old ones removed, the new ones added, as many as the counts tell."""
+def with_lines(hunks: DataFrame, *keep: str) -> DataFrame:
+    """Hunks with lines: the old ones removed, the new ones added, as many as the counts tell; the columns to ``keep`` stay."""
     made = lambda kind, word, n: F.transform(
         F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")),
         lambda i: F.struct(F.lit(kind).alias("type"), F.concat(F.lit(f"{word} "), i.cast("string"), F.lit(" of "), F.col("hunk_id").cast("string")).alias("content")))
@@ -138,4 +151,5 @@ def with_lines(hunks: DataFrame) -> DataFrame:
     return hunks.select(
         "changeset_id", "hunk_id", "commit_id", "sha", "file_path", "old_start", "old_count", "new_start", "new_count", lines.alias("lines"),
         F.array("sha").alias("likely_source_commits"), F.lit(False).alias("old_missing_newline_at_eof"), (F.col("hunk_id") % 3 == 0).alias("new_missing_newline_at_eof"),
+        *keep,
     )
