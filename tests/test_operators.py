@@ -73,6 +73,17 @@ def test_round_trip(spark):
     assert sorted(parse_diff(again).hunks.select(*pick).collect()) == sorted(first.hunks.select(*pick).collect())
 
 
+def test_a_diff_is_numbered_in_its_own_row(spark):
+    """Paths, types and numbers are carried past unreadable headers, over many files, without shuffling or sorting a hunk's text."""
+    one = "diff --git a/f{0} b/f{0}\n--- a/f{0}\n+++ b/f{0}\n@@ -1,1 +1,1 @@\n-a\n+b{0}\n@@ x @@\n-lost\n@@ -9,1 +9,0 @@\n-c\n"
+    patch = parse_diff(spark.createDataFrame([(1, "".join(one.format(i) for i in range(600)))], "changeset_id long, diff_text string"))
+    plan = patch.hunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    rows = sorted((r.hunk_id, r.file_path, r.old_start, [x.content for x in r.lines]) for r in patch.hunks.collect())
+    assert rows == [x for i in range(600) for x in ((2 * i, f"f{i}", 1, ["a", f"b{i}"]), (2 * i + 1, f"f{i}", 9, ["c"]))]
+    assert sorted(map(tuple, patch.errors.collect())) == [(1, i, "@@ x @@") for i in range(600)]
+
+
 @pytest.mark.parametrize("text, wanted", [
     ('```json\n{"a": 1}\n```', '{"a": 1}'), ('```\n{"a": 1}\n```', '{"a": 1}'), ('x {"a": {}} y', '{"a": {}}'), ("none", None), ('```json\n{"a": 1}', None), ("} {", None),
 ])
