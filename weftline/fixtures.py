@@ -29,16 +29,20 @@ FROM (
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
 ) placed"""
 
-#: The same rows for Spark: what follows from a line's own columns is made after the numbering, so that it is neither shuffled nor sorted.
+#: The same rows for Spark: lines meet their parts first and orders their customers before both meet, so that lines are moved once for each of
+#: these and once to their change set. They are ranked in their order before that, and what follows from their own columns is made after the
+#: numbering, so that no column which only breaks ties is moved to the change set, and no text that can be made.
 _SPARK_HUNKS = """
 SELECT changeset_id, hunk_id, l_orderkey AS commit_id, md5(CAST(l_orderkey AS STRING)) AS sha,
   concat(CASE WHEN l_partkey % 2 = 0 THEN 'part/' ELSE 'part-alt/' END, p_brand, '/', CAST(l_partkey % 40 AS STRING)) AS file_path,
   old_start, old_count, old_start AS new_start, greatest(CAST(0 AS BIGINT), old_count + l_linenumber - 4) AS new_count, p_name, p_type, p_size
 FROM (SELECT *, CAST(@days AS BIGINT) AS old_start, CAST(l_quantity AS BIGINT) - 1 AS old_count FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY changeset_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
-    l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS BIGINT) AS hunk_id
-  FROM (SELECT *, @key AS changeset_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-    JOIN {part} ON l_partkey = p_partkey) owned) numbered
+  SELECT *, CAST(row_number() OVER (PARTITION BY changeset_id ORDER BY l_orderkey, line_rank) - 1 AS BIGINT) AS hunk_id
+  FROM (SELECT changeset_id, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, p_brand, p_name, p_type, p_size,
+      row_number() OVER (PARTITION BY l_orderkey, changeset_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
+        l_extendedprice, l_quantity, l_discount, l_tax) AS line_rank
+    FROM (SELECT * FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) lines
+    JOIN (SELECT o_orderkey, @key AS changeset_id FROM {orders} JOIN {customer} ON o_custkey = c_custkey) owned ON l_orderkey = o_orderkey) ranked) numbered
 ) placed"""
 
 _COMMITS = """
