@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import between_braces, extract_json, format_lines, normalize_topic
 from ..schemas import ANALYSIS_RESPONSE, CATEGORIES, PLAN_RESPONSE, RELATION_RESPONSE, SPLIT_RESPONSE
+from ..sinks.patches import slim_struct
 from ..sources.diff import partial_hunk, raw_fragment
 from .strategies import Plan
 
@@ -22,26 +25,31 @@ def read_plans(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return commits, read.where("error is not null").select("changeset_id", "error")
 
 
-def convert_changes(commits: DataFrame, hunks: DataFrame) -> DataFrame:
+def convert_changes(commits: DataFrame, hunks: DataFrame, lines: Callable[[Column], Column] | None = None) -> DataFrame:
     """Change specs as planned changes: a whole hunk, some of its lines, or a fragment written by the model.
 
     New hunks are numbered from one more than the largest id on, in document order. A part of an unknown hunk, lines out
-    of range and empty fragments give a null ``new_hunk`` with the reason in ``error``.
+    of range and empty fragments give a null ``new_hunk`` with the reason in ``error``. Where lines follow from a hunk's own columns,
+    ``lines`` makes them of a slim hunk once it has met its change, so that they are not moved.
     """
     specs = commits.select("changeset_id", "commit_id", "commit_pos", F.posexplode("changes").alias("change_pos", "s"))
     specs = specs.withColumn("source", F.coalesce("s.hunk_id", "s.id"))
-    own = hunks.select("changeset_id", F.col("hunk_id").alias("source"), F.col("file_path").alias("__path"), "lines", "old_start", "new_start")
-    specs = specs.join(own, ["changeset_id", "source"], "left")
+    # New hunks are numbered before any lines are there, and these are moved once.
     kind = F.col("s.type")
-    new = F.when(kind == "partial", partial_hunk("lines", "s.lines", "old_start", "new_start")).when(kind == "raw", raw_fragment("s.diff"))
-    specs = specs.withColumn("new_hunk", new).withColumn("is_new", kind != "hunk")
+    most = hunks.groupBy("changeset_id").agg(F.max("hunk_id").alias("most"))
+    nth = F.sum(F.col("is_new").cast("int")).over(Window.partitionBy("changeset_id").orderBy("commit_pos", "change_pos"))
+    specs = specs.withColumn("is_new", kind != "hunk").withColumn("nth", nth).join(most, "changeset_id", "left")
+    own = hunks.select("changeset_id", F.col("hunk_id").alias("source"), F.col("file_path").alias("__path"), (F.col("lines") if lines is None else slim_struct()).alias("__own"), "old_start", "new_start")
+    specs = specs.join(own, ["changeset_id", "source"], "left")
+    found = F.col("__own") if lines is None else F.when(F.col("__own").isNotNull(), lines(F.col("__own")))
+    part = F.transform(F.array(found), lambda x: partial_hunk(x, F.col("s.lines"), F.col("old_start"), F.col("new_start")))[0]  # lines are made once
+    new = F.when(kind == "partial", part).when(kind == "raw", raw_fragment("s.diff"))
+    specs = specs.withColumn("new_hunk", new)
     error = (
         F.when(F.col("is_new") & (kind == "partial") & F.col("__path").isNull(), "unknown hunk")
         .when(F.col("is_new") & F.col("new_hunk").isNull(), F.when(kind == "partial", "line out of range").otherwise("no lines"))
     )
-    most = hunks.groupBy("changeset_id").agg(F.max("hunk_id").alias("most"))
-    nth = F.sum(F.col("is_new").cast("int")).over(Window.partitionBy("changeset_id").orderBy("commit_pos", "change_pos"))
-    specs = specs.withColumn("error", error).withColumn("nth", nth).join(most, "changeset_id", "left")
+    specs = specs.withColumn("error", error)
     return specs.select(
         "changeset_id", "commit_id", "commit_pos", "change_pos", F.when(F.col("is_new"), "new").otherwise("existing").alias("kind"),
         F.when(F.col("is_new"), F.coalesce("most", F.lit(0)) + F.col("nth")).otherwise(F.col("source")).alias("hunk_id"),
