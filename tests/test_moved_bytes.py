@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from weftline.fixtures import made_lines, view, with_lines, without_lines
 from weftline.plans import prompts, responses
+from weftline.queries import QUERIES
 from weftline.sinks.patches import write_patches
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,9 @@ def test_only_the_first_sort_of_hunks_sees_what_breaks_ties(spark):
     plan = view(spark, SF, "hunks").select("changeset_id", "hunk_id", "file_path")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2 and "l_tax" in windows[1] and not any(c in windows[0] for c in ("l_tax", "l_discount", "l_extendedprice", "l_suppkey"))
+
+
+@pytest.mark.parametrize("name", ["analysis_responses", "scored_responses"])
+def test_answers_are_read_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("Generate explode(array(") >= 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest subject line in bytes, shortest one, and bytes of a diff that a scorer is shown.
@@ -98,6 +98,16 @@ def response_path(text: Column | str) -> Column:
     return F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("/")) & F.endswith(x, F.lit(".json"))), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are made once a row, one after the other, however many filters and columns behind use them.
+
+    A filter is not pushed through an explode, nor is a column repeated in what uses it.
+    """
+    for name, made in columns.items():
+        df = df.select(*df.columns, F.explode(F.array(made)).alias(name))
+    return df
+
+
 def extract_json(text: Column | str) -> Column:
     """JSON of a response: in a json fence, else in any fence after its first line, else between the outer braces.
 

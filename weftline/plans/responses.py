@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import between_braces, extract_json, format_lines, normalize_topic
+from ..functions.text import between_braces, extract_json, format_lines, normalize_topic, once
 from ..schemas import ANALYSIS_RESPONSE, CATEGORIES, PLAN_RESPONSE, RELATION_RESPONSE, SPLIT_RESPONSE
 from ..sinks.patches import slim_struct
 from ..sources.diff import partial_hunk, raw_fragment
@@ -63,15 +63,20 @@ def plan_from_responses(responses: DataFrame, hunks: DataFrame) -> Plan:
     return Plan(commits.drop("changes"), changes.select("changeset_id", "commit_id", "commit_pos", "change_pos", "kind", "hunk_id"))
 
 
+def judged_analyses(responses: DataFrame) -> DataFrame:
+    """(changeset_id, hunk_id, file_path, response) with the answer that was read in ``answer``, and what is wrong with it, or null, in ``error``."""
+    read = once(responses, __json=extract_json("response"), answer=F.from_json("__json", ANALYSIS_RESPONSE))
+    category = F.col("answer.category")
+    error = F.when(F.col("__json").isNull(), "no JSON found").when(category.isNull() | ~category.isin(*CATEGORIES), "invalid category").when(F.col("answer.topic").isNull(), "no topic")
+    return read.withColumn("error", error).withColumn("topic", F.when(error.isNull(), normalize_topic("answer.topic"))).drop("__json")
+
+
 def read_analyses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(analyses, errors) of (changeset_id, hunk_id, file_path, response); an unknown category is an error."""
-    read = responses.withColumn("__json", extract_json("response")).withColumn("__a", F.from_json("__json", ANALYSIS_RESPONSE))
-    category = F.col("__a.category")
-    error = F.when(F.col("__json").isNull(), "no JSON found").when(category.isNull() | ~category.isin(*CATEGORIES), "invalid category").when(F.col("__a.topic").isNull(), "no topic")
-    read = read.withColumn("error", error)
+    read = judged_analyses(responses)
     good = read.where("error is null").select(
-        "changeset_id", "hunk_id", category.alias("category"), F.coalesce("__a.semantic_units", F.array().cast("array<string>")).alias("semantic_units"),
-        normalize_topic("__a.topic").alias("topic"), F.col("__a.depends_on_context").alias("depends_on_context"), "file_path")
+        "changeset_id", "hunk_id", F.col("answer.category").alias("category"), F.coalesce("answer.semantic_units", F.array().cast("array<string>")).alias("semantic_units"),
+        "topic", F.col("answer.depends_on_context").alias("depends_on_context"), "file_path")
     return good, read.where("error is not null").select("changeset_id", "hunk_id", "error")
 
 
