@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from weftline.fixtures import made_lines, view, with_lines, without_lines
+from weftline.operators import attribution
 from weftline.plans import prompts, responses
 from weftline.queries import QUERIES
 from weftline.sinks.patches import write_patches
@@ -53,3 +54,21 @@ def test_only_the_first_sort_of_hunks_sees_what_breaks_ties(spark):
 def test_answers_are_read_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and plan.count("Generate explode(array(") >= 2
+
+
+def test_files_commits_without_a_join(spark):
+    made = [(1, 0, "x", "b", 1), (1, 1, "x", "a", 0), (1, 2, "y", "b", 1), (2, 0, "x", "c", 0)]
+    hunks = spark.createDataFrame(made, "changeset_id long, hunk_id long, file_path string, sha string, position int")
+    joined = attribution.attribute_by_file(hunks, attribution.file_to_commits(hunks))
+    found = attribution.attribute_touched(hunks)
+    assert rows(found.select(*joined.columns)) == rows(joined)
+    commits = hunks.select("changeset_id", "sha", "position").distinct()
+    extra = spark.createDataFrame([(3, 0, ["z"]), (3, 1, ["z", "y"]), (3, 2, [])], "changeset_id long, hunk_id long, likely_source_commits array<string>")
+    got = attribution.source_commit(found.select(*extra.columns).union(extra), commits).collect()
+    assert {tuple(r) for r in got} == {(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (2, 0, "c"), (3, 0, "z"), (3, 1, "z")} and len(got) == 6
+
+
+@pytest.mark.parametrize("name", ["preserve_plan", "overlapping_hunks"])
+def test_views_read_twice_are_made_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
