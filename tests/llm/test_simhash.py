@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from weftline.llm import simhash as S
+from weftline.llm.common import join_lookup, stored
 from weftline.llm.graph import components
 
 
@@ -153,3 +154,11 @@ def test_a_set_is_compared_once_however_often_it_is_stored(spark):
     sets = S._asked_sets(df, hanging, "text", "doc_id", 5).collect()
     assert sorted((r.x, r.fp, len(r.h) // 8) for r in sets) == [(1, 5, 116), (2, 6, 116)]
     assert {r.component_id for r in S.near_duplicate_groups(df, similarity=0.8).collect()} == {7}
+
+
+def test_a_lookup_beyond_its_limit_stays_off_the_driver(spark):
+    rows = spark.range(200).select((F.col("id") % 40).alias("k"), "id")
+    lookup = stored(spark.range(0, 40, 3).select(F.col("id").alias("k"), F.lit(True).alias("found")))
+    got = join_lookup(rows, lookup, "k", limit=10)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.found) for r in got.collect()} == {(i, True if i % 40 % 3 == 0 else None) for i in range(200)} and got.count() == 200

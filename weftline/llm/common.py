@@ -142,7 +142,8 @@ def join_lookup(left: DataFrame, lookup: DataFrame, on: str, limit: int = BROADC
     """Left join to a lookup table with one row per key (nulls match).
 
     Up to ``limit`` counted rows the table is broadcast; beyond that the left side is salted, and the
-    lookup repeated once a salt, so that one hot key still spreads over ``salts`` tasks.
+    lookup repeated once a salt, so that one hot key still spreads over ``salts`` tasks. The planner takes the repeated
+    table for as small as the plain one, so it is told to merge; else all repeats would go through the driver.
     """
     key = f"__{on}_key"
     table = lookup.withColumnRenamed(on, key)
@@ -152,7 +153,7 @@ def join_lookup(left: DataFrame, lookup: DataFrame, on: str, limit: int = BROADC
     cols = [F.col(f.name) for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = left.withColumn("__row_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
     on_both = F.col(on).eqNullSafe(F.col(key)) & (F.col("__row_salt") == F.col("__salt"))
-    return spread.join(salted, on_both, "left").drop(key, "__salt", "__row_salt")
+    return spread.join(salted.hint("merge"), on_both, "left").drop(key, "__salt", "__row_salt")
 
 
 def join_hot(left: DataFrame, lookup: DataFrame, on: str, hot: DataFrame, salt: Column, salts: int = 32) -> DataFrame:
