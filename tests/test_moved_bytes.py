@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from weftline.fixtures import made_lines, view, with_lines, without_lines
-from weftline.operators import attribution
+from weftline.operators import attribution, reconstruction
 from weftline.plans import prompts, responses
 from weftline.queries import QUERIES
 from weftline.sinks.patches import write_patches
@@ -72,3 +72,25 @@ def test_files_commits_without_a_join(spark):
 def test_views_read_twice_are_made_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan
+
+
+def test_files_without_moved_lines(spark, hunks):
+    """Hunks of file x don't fit its text, so there are problems too."""
+    slim = without_lines(hunks).withColumn("commit_pos", F.col("commit_id").cast("int")).withColumn("adjusted_start", F.col("old_start"))
+    full = with_lines(hunks, "commit_id").withColumn("commit_pos", F.col("commit_id").cast("int")).withColumn("adjusted_start", F.col("old_start"))
+    made = spark.createDataFrame([(1, "x", 7), (1, "same", 2), (2, "x", 6)], "changeset_id long, file_path string, n int")
+    content = F.concat(F.repeat(F.lit("line\n"), F.col("n")), F.lit("end"))
+    base = made.select("changeset_id", "file_path", content.alias("content"))
+    kept = lambda df: df.where("hunk_id <> 3")
+    whole, partly = reconstruction.rebuild(base, full), reconstruction.rebuild(base, kept(full))
+    assert rows(reconstruction.rebuild(made, slim, lines=made_lines, content=content)) == rows(whole) and whole.where("size(problems) > 0").count() > 0
+    wanted = rows(reconstruction.content_differences(whole, partly))
+    assert rows(reconstruction.rebuilt_differences(made, slim, kept(slim), lines=made_lines, content=content)) == wanted and len(wanted) == 1
+    assert rows(reconstruction.rebuilt_differences(base, full, kept(full))) == wanted
+
+
+@pytest.mark.parametrize("name", ["rebuilt_files", "lost_hunks"])
+def test_no_text_of_a_file_is_gathered_or_joined(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join FullOuter" in line]
+    assert joins and all("concat(" not in line for line in plan[joins[0] :])
