@@ -2,9 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from weftline.checkpoints import cut
 from weftline.fixtures import made_lines, view, with_lines, without_lines
 from weftline.operators import attribution, reconstruction
-from weftline.plans import prompts, responses
+from weftline.plans import prompts, responses, strategies, validation
 from weftline.queries import QUERIES
 from weftline.sinks.patches import write_patches
 
@@ -94,3 +95,12 @@ def test_no_text_of_a_file_is_gathered_or_joined(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [i for i, line in enumerate(plan) if "Join FullOuter" in line]
     assert joins and all("concat(" not in line for line in plan[joins[0] :])
+
+
+def test_no_check_of_a_written_plan_is_broadcast(spark):
+    """Written views are small as files, so the planner would broadcast millions of rows of them."""
+    plan = strategies.Plan(*(cut(view(spark, SF, n)) for n in ("planned", "changes", "deps")))
+    hunks = cut(view(spark, SF, "hunks"))
+    checks = validation.plan_checks(plan, hunks)
+    checks[7] = validation.placed_hunks(plan.changes, hunks)  # the overlaps have small joins besides
+    assert [i for i, found in enumerate(checks) if "Broadcast" in found._jdf.queryExecution().executedPlan().toString()] == []

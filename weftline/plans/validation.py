@@ -27,6 +27,11 @@ def _issues(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in ISSUE.items()])
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """What grows with the plan and is never to be broadcast: written views are so well compressed that the planner would."""
+    return df.hint("merge")
+
+
 def existing(changes: DataFrame) -> DataFrame:
     return changes.where("kind = 'existing'")
 
@@ -41,11 +46,11 @@ def long_messages(commits: DataFrame, most: int = MAX_SUBJECT) -> DataFrame:
 
 
 def without_changes(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    return _issues(commits.join(changes.select("changeset_id", "commit_id").distinct(), ["changeset_id", "commit_id"], "left_anti"), "NoChanges")
+    return _issues(commits.join(_large(changes.select("changeset_id", "commit_id").distinct()), ["changeset_id", "commit_id"], "left_anti"), "NoChanges")
 
 
 def invalid_hunks(changes: DataFrame, hunks: DataFrame) -> DataFrame:
-    return _issues(changes.join(hunks.select("changeset_id", "hunk_id"), ["changeset_id", "hunk_id"], "left_anti"), "InvalidHunk")
+    return _issues(changes.join(_large(hunks.select("changeset_id", "hunk_id")), ["changeset_id", "hunk_id"], "left_anti"), "InvalidHunk")
 
 
 def duplicates_within(changes: DataFrame) -> DataFrame:
@@ -63,7 +68,8 @@ def duplicates_across(changes: DataFrame) -> DataFrame:
 
 def unassigned(hunks: DataFrame, changes: DataFrame) -> DataFrame:
     """(changeset_id, hunk_id) of hunks that no commit holds."""
-    return hunks.select("changeset_id", "hunk_id").join(existing(changes).select("changeset_id", "hunk_id").distinct(), ["changeset_id", "hunk_id"], "left_anti")
+    held = existing(changes).select("changeset_id", "hunk_id").distinct()
+    return hunks.select("changeset_id", "hunk_id").join(_large(held), ["changeset_id", "hunk_id"], "left_anti")
 
 
 def unassigned_hunks(hunks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def unassigned_hunks(hunks: DataFrame, changes: DataFrame) -> DataFrame:
 def invalid_dependencies(deps: DataFrame, commits: DataFrame) -> DataFrame:
     """``commit_b`` is what is missing."""
     known = commits.select("changeset_id", F.col("commit_id").alias("depends_on"))
-    return _issues(deps.join(known, ["changeset_id", "depends_on"], "left_anti").withColumn("commit_b", F.col("depends_on")), "InvalidDependency")
+    return _issues(deps.join(_large(known), ["changeset_id", "depends_on"], "left_anti").withColumn("commit_b", F.col("depends_on")), "InvalidDependency")
 
 
 def first_cycle(nodes: list[int], edges: dict[int, list[int]]) -> list[int] | None:
@@ -107,13 +113,13 @@ def cyclic_edges(deps: DataFrame, rounds: int = 1) -> DataFrame:
     for _ in range(rounds):
         leaving = deps.select("changeset_id", F.col("commit_id").alias("depends_on")).distinct()
         entered = deps.select("changeset_id", F.col("depends_on").alias("commit_id")).distinct()
-        deps = deps.join(leaving, ["changeset_id", "depends_on"], "left_semi").join(entered, ["changeset_id", "commit_id"], "left_semi")
+        deps = deps.join(_large(leaving), ["changeset_id", "depends_on"], "left_semi").join(_large(entered), ["changeset_id", "commit_id"], "left_semi")
     return deps
 
 
 def cycles(deps: DataFrame, commits: DataFrame) -> DataFrame:
     """The first cycle of each change set that has one, in commit order."""
-    placed = cyclic_edges(deps).join(commits.select("changeset_id", "commit_id", "commit_pos"), ["changeset_id", "commit_id"])
+    placed = cyclic_edges(deps).join(_large(commits.select("changeset_id", "commit_id", "commit_pos")), ["changeset_id", "commit_id"])
 
     def walk(rows: list[dict]) -> list[tuple]:
         edges: dict[int, list[int]] = {}
@@ -127,7 +133,7 @@ def cycles(deps: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def placed_hunks(changes: DataFrame, hunks: DataFrame) -> DataFrame:
-    return existing(changes).join(hunks.select("changeset_id", "hunk_id", "file_path", "old_start", "old_count", "new_count"), ["changeset_id", "hunk_id"])
+    return existing(changes).join(_large(hunks.select("changeset_id", "hunk_id", "file_path", "old_start", "old_count", "new_count")), ["changeset_id", "hunk_id"])
 
 
 def overlaps(changes: DataFrame, hunks: DataFrame) -> DataFrame:
