@@ -104,3 +104,12 @@ def test_no_check_of_a_written_plan_is_broadcast(spark):
     checks = validation.plan_checks(plan, hunks)
     checks[7] = validation.placed_hunks(plan.changes, hunks)  # the overlaps have small joins besides
     assert [i for i, found in enumerate(checks) if "Broadcast" in found._jdf.queryExecution().executedPlan().toString()] == []
+
+
+def test_hunks_are_gathered_slim_and_meet_the_index_first(spark, hunks):
+    index = hunks.where("file_path = 'x'").select("changeset_id", "file_path")
+    plan = write_patches(without_lines(hunks), ["changeset_id"], in_index=index, lines=made_lines)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert gathered.count("hunk_id") == 2 and gathered.count("old_count") == 2, gathered  # a column and its name
+    assert plan.index("collect_list") < plan.index("Join LeftOuter")
+    assert "l_partkey" not in QUERIES["indexed_patches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
