@@ -113,3 +113,19 @@ def test_hunks_are_gathered_slim_and_meet_the_index_first(spark, hunks):
     assert gathered.count("hunk_id") == 2 and gathered.count("old_count") == 2, gathered  # a column and its name
     assert plan.index("collect_list") < plan.index("Join LeftOuter")
     assert "l_partkey" not in QUERIES["indexed_patches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prompts_without_moved_lines(spark, hunks):
+    commits = spark.createDataFrame([(1, "a", 0, "s", "one\n\ntwo"), (1, "b", 1, "t", "t"), (2, "c", 0, "u", "u"), (3, "d", 0, "v", "no hunks")], "changeset_id long, sha string, position int, short string, long string")
+    many = hunks.withColumn("old_count", F.col("old_count") * 150)  # so that one diff is cut
+    asked = prompts.analysis_prompts(without_lines(many).withColumn("likely_source_commits", F.array("sha")), commits, made_lines)
+    assert rows(asked) == rows(prompts.analysis_prompts(with_lines(many), commits)) and asked.count() == 5
+    whole = prompts.assessment_prompts(commits, prompts.diff_contents(with_lines(many)))
+    slim = prompts.assessment_prompts(commits, prompts.slim_contents(without_lines(many)), lines=made_lines)
+    assert rows(slim) == rows(whole) and slim.count() == 4 and "-old 100 of 0" in str(rows(slim)) and "-old 300 of 0" not in str(rows(slim))
+
+
+@pytest.mark.parametrize("name", ["analysis_prompts", "assessment_prompts"])
+def test_prompts_join_no_diff(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "- old" not in plan and "concat(old " not in plan[plan.index("Join ") :]
