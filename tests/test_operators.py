@@ -339,3 +339,15 @@ def test_sparks_hunks_are_those_of_the_view(spark, by):
     assert made.schema == plain.schema and made.count() == plain.count() and made.exceptAll(plain).isEmpty()
     tree = made.select("changeset_id", "hunk_id", "sha", "file_path")._jdf.queryExecution().optimizedPlan().toString()
     assert tree.index("md5(") < tree.index("Window [")
+
+
+def test_a_plan_with_nothing_to_fix_gets_no_further_round(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(loop, "deterministic_fixes", lambda *args: asked.append(1) or repair.deterministic_fixes(*args))
+    plan = _plan(spark, [(0, " ", [0, 1]), (1, "Second", [1, 99]), (2, "Third", [1])], [(1, 0), (2, 1), (0, 2)])
+    fixed, issues = loop.settle(plan, _hunks(spark, 4))
+    assert len(asked) == 1
+    again, left = loop.settle(plan, _hunks(spark, 4), repair.deterministic_fixes)  # every round of any fix
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(issues) == told(left) and {r.issue_type for r in issues.collect()} == {"EmptyMessage", "InvalidHunk"}
+    assert all(told(a) == told(b) for a, b in ((fixed.commits, again.commits), (fixed.changes, again.changes), (fixed.deps, again.deps)))
